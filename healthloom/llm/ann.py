@@ -125,12 +125,14 @@ def ranked(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     """NEAR: the ``take`` best of x for each query, ties to smaller ids."""
     best = []
     for s in range(0, len(q), 256):
-        for score in q[s : s + 256] @ x.T:
+        for one, score in zip(q[s : s + 256], q[s : s + 256] @ x.T, strict=True):
             kept = np.arange(len(ids))
             if len(ids) > take:
-                kept = np.flatnonzero(score >= np.partition(score, len(ids) - take)[len(ids) - take])
-            order = kept[np.lexsort((ids[kept], -score[kept]))[:take]]
-            best.append([{"s": float(-score[i]), "c": int(ids[i])} for i in order])
+                kept = np.flatnonzero(score >= np.partition(score, len(ids) - take)[len(ids) - take] - 1e-12)
+            # Summed anew in one fixed order, so a pair has the same score wherever it is found.
+            score = (x[kept] * one).sum(axis=1)
+            order = np.lexsort((ids[kept], -score))[:take]
+            best.append([{"s": -a, "c": b} for a, b in zip(score[order].tolist(), ids[kept][order].tolist(), strict=True)])
     return pd.DataFrame({"query": query_ids, "best": best})
 
 
@@ -220,7 +222,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
         is_query = group["as_query"].to_numpy(bool)
         there, q = group[~is_query], group[is_query].drop_duplicates("class_id")
         if not len(there) or not len(q):
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "best": []})
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "best": pd.Series([], dtype=object)})
         return ranked(q["class_id"].to_numpy(), stacked(q["vector"], dim), there["class_id"].to_numpy(), stacked(there["vector"], dim))
 
     best = written(merged(rows.unionByName(asked).groupBy("tab", "key", "part").applyInPandas(nearest, NEAR)), "best")
@@ -247,7 +249,7 @@ def all_rows(queries: DataFrame, rows: DataFrame, dim: int, blocks: int = 16) ->
         is_query = group["as_query"].to_numpy(bool)
         there, q = group[~is_query], group[is_query]
         if not len(there) or not len(q):
-            return pd.DataFrame({"query": np.zeros(0, np.int64), "best": []})
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "best": pd.Series([], dtype=object)})
         return ranked(q["class_id"].to_numpy(), np.stack(q["vector"].to_list()), there["class_id"].to_numpy(), np.stack(there["vector"].to_list()))
 
     return merged(both.groupBy("b").applyInPandas(nearest, NEAR))
