@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-TABLES, MOST_PROBES, BUCKET, PART = 2, 512, 1024, 4096
+TABLES, MOST_PROBES, BUCKET, PART = 2, 512, 2048, 4096
+#: Bits of a bucket number that one projection is worth: at WIDTH it mostly falls into three cells.
+BITS_A_PLANE = 1.5
 #: Rows that w is fitted on, and queries that the number of probes is fitted on; both are chosen by hash of the id.
 SAMPLE, SAMPLE_QUERIES, TARGET = 2000, 128, 0.96
 #: w in standard deviations of a projection.
@@ -186,7 +188,7 @@ def search(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     by_hash = (F.xxhash64("class_id"), F.col("class_id"))
     sample = np.array([r["vector"] for r in found.orderBy(*by_hash).limit(SAMPLE).select("vector").collect()], np.float64).reshape(-1, dim)
     some = [(r["class_id"], np.array(r["vector"], np.float64)) for r in found.where("queries").orderBy(*by_hash).limit(SAMPLE_QUERIES).select("class_id", "vector").collect()]
-    bits = max(0, min(24, math.ceil(math.log2(max(1, n / bucket)))))
+    bits = max(0, min(24, math.ceil(math.log2(max(1, n / bucket)) / BITS_A_PLANE)))
     if bits and some:
         seen = exact(found, [(i, v.tobytes()) for i, v in some], dim).select("query", F.explode("best").alias("b")).select("query", F.col("b.c").alias("class_id")).where("query <> class_id")
         near: dict[int, list] = {i: [] for i, _ in some}

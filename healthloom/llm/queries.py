@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binpack, langid, licences, mixing, neardup, packing, quality, sql
+from . import ann, binpack, langid, licences, mixing, neardup, packing, pii, quality, sql
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents"))
+
+
 def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_best_fit_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_language_mixture, op3_poisson_mixing, op5_window_packing, op6_forest_jaccard_join, op7_multiprobe_search, op8_host_quality_rules, op9_license_rules, op10_best_fit_matrices)
+    found = (op2_language_mixture, op3_poisson_mixing, op4_keyed_surrogates, op5_window_packing, op6_forest_jaccard_join, op7_multiprobe_search, op8_host_quality_rules, op9_license_rules, op10_best_fit_matrices)
     return {f.__name__: f for f in found}
 
 
