@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binpack, langid, licences, mixing, neardup, packing, pii, quality, sql
+import corpus_pipeline
+
+from . import ann, binpack, langid, licences, mixing, neardup, packing, pii, quality, sql, suffix
 from .common import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.cut(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -48,8 +54,8 @@ def op10_best_fit_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_language_mixture, op3_poisson_mixing, op4_keyed_surrogates, op5_window_packing, op6_forest_jaccard_join, op7_multiprobe_search, op8_host_quality_rules, op9_license_rules, op10_best_fit_matrices)
-    return {f.__name__: f for f in found}
+    found = (op1_suffix_dedup, op2_language_mixture, op3_poisson_mixing, op4_keyed_surrogates, op5_window_packing, op6_forest_jaccard_join, op7_multiprobe_search, op8_host_quality_rules, op9_license_rules, op10_best_fit_matrices)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
