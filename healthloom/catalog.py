@@ -1,19 +1,455 @@
-"""The queries of this engine by name, and the SQL that gives the same rows."""
+"""The queries of this engine by name, and the SQL that gives the same rows.
+
+The driver's tables stand in for health data: documents, customers and parts are records to link, orders (with customers and
+line items) are resources with references, regions and nations are conditions and value sets.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import fhirpath, hl7, phone, phonetic, similarity, text
+from .operators import linkage as link
+from .operators import mpi, patients, tabulation, valuesets, viewer
+from .plans.linkage import BlockKey, Pass
+from .plans.tables import ColumnSpec, Reference, TableSpec
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# Linkage. Parts of one brand, size and first word of the name are records of a block.
+PART_BLOCK = (BlockKey("p_brand"), BlockKey("p_size"))
+EXACT, FOUR, FUZZY = "feature_match_exact", "feature_match_four_char", "feature_match_fuzzy_string"
+WEIGHTED, WEIGHTED_FUZZY = "feature_match_log_odds_exact", "feature_match_log_odds_fuzzy_compare"
+WEIGHTS = {"p_name": 6.0, "p_brand": 2.0, "p_size": 1.5}
+_PART_PAIRS = "FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
+
+
+def _document_pass(threshold: float, measure: str = "JaroWinkler") -> Pass:
+    return Pass({"head": FUZZY}, (BlockKey("lang"), BlockKey("source"), BlockKey("size_class")), "eval_perfect_match", threshold=threshold, similarity_measure=measure)
+
+
+def _document_heads(docs: DataFrame) -> DataFrame:
+    """Records of documents: the first 64 characters, blocked by language, source and length class (32 characters)."""
+    return docs.select("doc_id", "lang", "source", F.floor(F.col("n_chars") / 32).alias("size_class"), F.left("text", F.lit(64)).alias("head"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_fuzzy_jw(spark, sf_dir)
+
+
+@query("SELECT a.doc_id AS id_i, b.doc_id AS id_j FROM documents a JOIN documents b ON a.lang = b.lang AND a.source = b.source AND a.text = b.text AND a.doc_id < b.doc_id")
+def link_exact_pairs(spark, sf_dir):
+    p = Pass({"text": EXACT}, (BlockKey("lang"), BlockKey("source"), BlockKey("text")), "eval_perfect_match")
+    return link.match_pairs(table(spark, sf_dir, "documents"), p, "doc_id")
+
+
+@query(f"SELECT a.p_partkey AS id_i, b.p_partkey AS id_j {_PART_PAIRS} WHERE left(a.p_name, 4) = left(b.p_name, 4)")
+def link_first4_pairs(spark, sf_dir):
+    return link.match_pairs(table(spark, sf_dir, "part"), Pass({"p_name": FOUR}, PART_BLOCK, "eval_perfect_match"), "p_partkey")
+
+
+_HEADS = "WITH d AS (SELECT doc_id, lang, source, n_chars // 32 AS size_class, left(text, 64) AS head FROM documents) SELECT a.doc_id AS id_i, b.doc_id AS id_j FROM d a JOIN d b ON a.lang = b.lang AND a.source = b.source AND a.size_class = b.size_class AND a.doc_id < b.doc_id WHERE"
+
+
+@query(f"{_HEADS} jaro_winkler_similarity(a.head, b.head) >= 0.8")
+def link_fuzzy_jw(spark, sf_dir):
+    return link.match_pairs(_document_heads(table(spark, sf_dir, "documents")), _document_pass(0.8), "doc_id")
+
+
+@query(f"SELECT a.p_partkey AS id_i, b.p_partkey AS id_j {_PART_PAIRS} WHERE 1.0::DOUBLE - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.55")
+def link_fuzzy_lev(spark, sf_dir):
+    return link.match_pairs(table(spark, sf_dir, "part"), Pass({"p_name": FUZZY}, PART_BLOCK, "eval_perfect_match", threshold=0.55, similarity_measure="Levenshtein"), "p_partkey")
+
+
+@query(f"SELECT a.p_partkey AS id_i, b.p_partkey AS id_j {_PART_PAIRS} WHERE 1.0::DOUBLE - damerau_levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.55")
+def link_fuzzy_dl(spark, sf_dir):
+    return link.match_pairs(table(spark, sf_dir, "part"), Pass({"p_name": FUZZY}, PART_BLOCK, "eval_perfect_match", threshold=0.55, similarity_measure="DamerauLevenshtein"), "p_partkey")
+
+
+@query("""SELECT a.p_partkey AS id_i, b.p_partkey AS id_j FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
+WHERE CASE WHEN a.p_name = b.p_name THEN 6.0 ELSE 0 END + CASE WHEN a.p_size = b.p_size THEN 1.5 ELSE 0 END >= 7.0""")
+def link_logodds(spark, sf_dir):
+    p = Pass({"p_name": WEIGHTED, "p_size": WEIGHTED}, (BlockKey("p_brand"),), "eval_log_odds_cutoff", true_match_threshold=7.0, log_odds=WEIGHTS)
+    return link.match_pairs(table(spark, sf_dir, "part"), p, "p_partkey")
+
+
+@query(f"""SELECT a.p_partkey AS id_i, b.p_partkey AS id_j {_PART_PAIRS}
+WHERE CASE WHEN jaro_winkler_similarity(a.p_name, b.p_name) >= 0.7 THEN 6.0 * jaro_winkler_similarity(a.p_name, b.p_name) ELSE 0 END >= 4.8""")
+def link_logodds_fuzzy(spark, sf_dir):
+    p = Pass({"p_name": WEIGHTED_FUZZY}, PART_BLOCK, "eval_log_odds_cutoff", true_match_threshold=4.8, log_odds=WEIGHTS)
+    return link.match_pairs(table(spark, sf_dir, "part"), p, "p_partkey")
+
+
+def _part_matches(spark, sf_dir) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    passes = [Pass({"p_name": FOUR}, PART_BLOCK, "eval_perfect_match"), Pass({"p_name": EXACT}, (BlockKey("p_brand"), BlockKey("p_name")), "eval_perfect_match")]
+    return link.link(parts, passes, "p_partkey")
+
+
+_COMPILED = f"""m AS (SELECT a.p_partkey AS root, b.p_partkey AS member {_PART_PAIRS} WHERE left(a.p_name, 4) = left(b.p_name, 4)
+UNION SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey)"""
+_TRUTH = "t AS (SELECT a.p_partkey AS root, b.p_partkey AS member FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey)"
+
+
+@query(f"WITH {_COMPILED} SELECT root, member FROM m")
+def link_compile(spark, sf_dir):
+    return _part_matches(spark, sf_dir)
+
+
+@query()
+def link_clusters(spark, sf_dir):
+    p = Pass({"p_name": FUZZY}, PART_BLOCK, "eval_perfect_match", 0.9, threshold=0.75)
+    return link.match_clusters(table(spark, sf_dir, "part"), p, "p_partkey")
+
+
+@query("SELECT p_brand AS b0, p_size AS b1, count(*) AS records FROM part GROUP BY ALL HAVING count(*) > 1")
+def link_block_sizes(spark, sf_dir):
+    return link.block_sizes(table(spark, sf_dir, "part"), PART_BLOCK, 1).select(F.col("__b0").alias("b0"), F.col("__b1").alias("b1"), "records")
+
+
+def _truth(parts: DataFrame) -> DataFrame:
+    return link.true_pairs(parts.withColumn("k", F.concat_ws("|", "p_brand", "p_name")), "k", "p_partkey")
+
+
+_M = "SELECT 'p_size' AS \"column\", (1 + count(*) FILTER (a.p_size = b.p_size)) / (1 + count(*))::DOUBLE AS probability FROM t JOIN part a ON a.p_partkey = t.root JOIN part b ON b.p_partkey = t.member"
+_U = """SELECT 'p_size' AS "column", (1 + (SELECT sum(n * (n - 1) // 2) FROM (SELECT count(*) AS n FROM part GROUP BY p_size)) - (SELECT count(*) FROM t JOIN part a ON a.p_partkey = t.root JOIN part b ON b.p_partkey = t.member WHERE a.p_size = b.p_size))
+/ (1 + (SELECT count(*) * (count(*) - 1) // 2 FROM part) - (SELECT count(*) FROM t))::DOUBLE AS probability"""
+
+
+@query(f"WITH {_TRUTH} {_M}")
+def link_m_probs(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    return link.m_probabilities(_truth(parts), parts, ["p_size"], "p_partkey")
+
+
+@query(f"WITH {_TRUTH} {_U}")
+def link_u_probs(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    return link.u_probabilities(_truth(parts), parts, ["p_size"], "p_partkey")
+
+
+@query(f'WITH {_TRUTH}, m AS ({_M}), u AS ({_U}) SELECT "column", round(ln(m.probability) - ln(u.probability), 9) AS log_odds FROM m JOIN u USING ("column")')
+def link_log_odds(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    truth = _truth(parts)
+    found = link.log_odds(link.m_probabilities(truth, parts, ["p_size"], "p_partkey"), link.u_probabilities(truth, parts, ["p_size"], "p_partkey"))
+    return found.select("column", F.round("log_odds", 9).alias("log_odds"))
+
+
+@query(f"""WITH {_COMPILED}, {_TRUTH}, c AS (SELECT (SELECT count(*) FROM m JOIN t USING (root, member)) AS tp, (SELECT count(*) FROM m ANTI JOIN t USING (root, member)) AS fp, (SELECT count(*) FROM t ANTI JOIN m USING (root, member)) AS fn, (SELECT count(*) * (count(*) - 1) // 2 FROM part) AS n)
+SELECT round(tp / (tp + fn)::DOUBLE, 3) AS sensitivity, round((n - tp - fp - fn) / (n - tp - fn)::DOUBLE, 3) AS specificity, round(tp / (tp + fp)::DOUBLE, 3) AS ppv, round(2 * tp / (2 * tp + fn + fp)::DOUBLE, 3) AS f1 FROM c""")
+def link_score(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    return link.score(_part_matches(spark, sf_dir), _truth(parts), parts.count())
+
+
+@query(f"WITH {_COMPILED}, {_TRUTH} SELECT DISTINCT unnest([root, member]) AS id FROM (SELECT root, member FROM m ANTI JOIN t USING (root, member))")
+def link_affected(spark, sf_dir):
+    return link.affected(link.missed(_truth(table(spark, sf_dir, "part")), _part_matches(spark, sf_dir)))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS patient_id, o_orderdate, l_suppkey AS person_id, l_quantity >= 25 AS hit FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+r AS (SELECT patient_id, person_id, count(*) FILTER (hit) / count(*)::DOUBLE AS ratio FROM s GROUP BY ALL)
+SELECT patient_id, person_id, ratio FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ratio DESC, person_id) AS n FROM r WHERE ratio >= 0.5) WHERE n = 1""")
+def link_best_person(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", (F.col("l_quantity") >= 25).alias("hit"))
+    shares = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey").groupBy(F.col("o_orderkey").alias("patient_id"), F.col("l_suppkey").alias("person_id")).agg((F.count_if("hit") / F.count("*")).alias("ratio"))
+    best = shares.where("ratio >= 0.5").groupBy("patient_id").agg(F.min_by(F.struct("person_id", "ratio"), F.struct(-F.col("ratio"), "person_id")).alias("b"))
+    return best.select("patient_id", "b.person_id", "b.ratio")
+
+
+def _index(spark, sf_dir) -> dict[str, DataFrame]:
+    """Customers of odd keys as an index of patients, one person each."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 1").withColumn("id", F.col("c_custkey").cast("string"))
+    n = lambda kind: F.lit(None).cast(kind)
+    index = mpi.empty(spark)
+    index["person"] = c.select(F.concat(F.lit("p"), "id").alias("person_id"))
+    index["patient"] = c.select(F.col("id").alias("patient_id"), F.concat(F.lit("p"), "id").alias("person_id"), n("date").alias("dob"), F.col("c_mktsegment").alias("sex"), n("string").alias("race"), n("string").alias("ethnicity"))
+    index["name"] = c.select(F.col("id").alias("name_id"), F.col("id").alias("patient_id"), F.col("c_name").alias("last_name"), n("string").alias("type"))
+    index["given_name"] = c.select(F.col("id").alias("given_name_id"), F.col("id").alias("name_id"), F.right("c_name", F.lit(4)).alias("given_name"), F.lit(0).alias("given_name_index"))
+    index["identifier"] = c.select(F.col("id").alias("identifier_id"), F.col("id").alias("patient_id"), F.right("c_name", F.lit(3)).alias("patient_identifier"), F.lit("MR").alias("type_code"), n("string").alias("type_display"), n("string").alias("type_system"))
+    index["address"] = c.select(F.col("id").alias("address_id"), F.col("id").alias("patient_id"), n("string").alias("type"), F.col("c_mktsegment").alias("line_1"), n("string").alias("line_2"), F.col("c_nationkey").cast("string").alias("city"), n("string").alias("zip_code"), n("string").alias("state"), n("string").alias("country"), n("decimal(9,6)").alias("latitude"), n("decimal(9,6)").alias("longitude"), n("timestamp").alias("start_date"), n("timestamp").alias("end_date"))
+    return index
+
+
+_CUSTOMER_BLOCK = "FROM customer a JOIN customer b ON a.c_custkey % 2 = 0 AND b.c_custkey % 2 = 1 AND right(a.c_name, 3) = right(b.c_name, 3) AND left(a.c_mktsegment, 4) = left(b.c_mktsegment, 4)"
+
+
+@query(f"""WITH r AS (SELECT a.c_custkey::VARCHAR AS patient_id, 'p' || b.c_custkey AS person_id, jaro_winkler_similarity(a.c_name, b.c_name) >= 0.9 AND a.c_nationkey = b.c_nationkey AS hit {_CUSTOMER_BLOCK}),
+g AS (SELECT patient_id, person_id, count(*) FILTER (hit) / count(*)::DOUBLE AS ratio FROM r GROUP BY ALL),
+m AS (SELECT patient_id, min(person_id) AS person_id FROM g WHERE ratio >= 0.9 GROUP BY patient_id)
+SELECT c.c_custkey::VARCHAR AS patient_id, m.person_id IS NOT NULL AS matched, coalesce(m.person_id, 'new-' || sha256(c.c_custkey::VARCHAR)) AS person_id FROM customer c LEFT JOIN m ON m.patient_id = c.c_custkey::VARCHAR WHERE c.c_custkey % 2 = 0""")
+def link_incremental(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    none = F.lit(None).cast("string")
+    records = c.select(F.col("c_custkey").cast("string").alias("patient_id"), none.alias("first_name"), F.col("c_name").alias("last_name"), none.alias("birthdate"), F.col("c_mktsegment").alias("sex"), F.right("c_name", F.lit(3)).alias("mrn"), F.array("c_mktsegment").alias("address"), F.array(F.col("c_nationkey").cast("string")).alias("city"), F.array(none).alias("state"), F.array(none).alias("zip"))
+    p = Pass({"last_name": FUZZY, "city": EXACT}, (BlockKey("mrn", "last4"), BlockKey("address", "first4")), "eval_perfect_match", 0.9, threshold=0.9)
+    return mpi.link(records, _index(spark, sf_dir), [p]).select("patient_id", "matched", "person_id")
+
+
+@query("SELECT c_custkey::VARCHAR AS patient_id FROM customer WHERE c_custkey % 2 = 1 AND right(c_name, 3) = '001' AND left(c_mktsegment, 4) = 'BUIL'")
+def blocking_semi_join(spark, sf_dir):
+    return mpi.block_patients(_index(spark, sf_dir), {"mrn": ("001", None), "address": ("BUIL", "first4"), "unknown": ("x", None)})
+
+
+@query("SELECT c_custkey::VARCHAR AS patient_id, 'p' || c_custkey AS person_id, right(c_name, 4) AS first_name, c_name AS last_name, right(c_name, 3) AS mrn, c_mktsegment AS address, c_nationkey::VARCHAR AS city FROM customer WHERE c_custkey % 2 = 1")
+def mpi_flat_view(spark, sf_dir):
+    return mpi.flat_view(_index(spark, sf_dir)).select("patient_id", "person_id", "first_name", "last_name", "mrn", "address", "city")
+
+
+# Harmonisation.
+@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(left(text, 80), '[^\\p{L}\\p{N} ]', '', 'g'), '\\p{N}', '', 'g'), ' ')) AS name FROM documents")
+def std_name(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.standardize_name(F.left("text", F.lit(80)), case="lower").alias("name"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS born FROM orders")
+def std_dob(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.standardize_birth_date(F.date_format("o_orderdate", "MM/dd/yyyy"), "%m/%d/%Y").alias("born"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') || '.1234-0500' AS at FROM events")
+def hl7_datetime(spark, sf_dir):
+    long = F.concat(F.date_format("ts", "yyyyMMddHHmmss"), F.lit("99.123456-05007x"))
+    return table(spark, sf_dir, "events").select("event_id", hl7.normalize_datetime(long).alias("at"))
+
+
+@query("SELECT o_orderkey, 'MSH|^~\\&|A|B|||' || strftime(o_orderdate, '%Y%m%d%H%M%S') || chr(10) || 'PID|1||' || o_custkey || '||||' || strftime(o_orderdate, '%Y%m%d') || chr(10) || 'ZZZ|x' AS message FROM orders")
+def hl7_message(spark, sf_dir):
+    at = F.date_format("o_orderdate", "yyyyMMddHHmmss")
+    message = F.concat(F.lit("MSH|^~\\&|A|B|||"), at, F.lit("777\rPID|1||||||"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("\rZZZ|x"))
+    whole = hl7.default_value(message, "PID", 3, "unknown")
+    own = F.regexp_replace(hl7.standardize_datetimes(whole), F.lit("\\|unknown\\|"), F.concat(F.lit("|"), F.col("o_custkey").cast("string"), F.lit("|")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", own.alias("message"))
+
+
+@query("SELECT o_custkey, i AS position, 'MSH|' || o_orderkey || chr(13) || 'PID|' || o_custkey || chr(13) AS message FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)")
+def hl7_batch(spark, sf_dir):
+    one = F.concat(F.lit("MSH|"), F.col("o_orderkey").cast("string"), F.lit("\r\nPID|"), F.col("o_custkey").cast("string"), F.lit("\r\n"))
+    files = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("m")))), lambda x: x["m"]), "").alias("body"))
+    return hl7.explode_batches(files.select("o_custkey", F.concat(F.lit("FHS|x\nBHS|y\n"), "body", F.lit("BTS|1\nFTS|1")).alias("value")))
+
+
+@query("SELECT c_custkey, sha256(c_name || 'salt') AS hashed FROM customer")
+def hash_id(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.hash_identifier(F.col("c_name"), "salt").alias("hashed"))
+
+
+@query("SELECT c_custkey, c_name || ' ' || c_mktsegment || ', ' || c_nationkey || ' ' || c_custkey AS line FROM customer")
+def one_line_address(spark, sf_dir):
+    line = text.one_line_address(F.array("c_name"), F.col("c_mktsegment"), F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
+
+
+@query("SELECT c_custkey, '+1' || lpad((2000000000 + c_custkey)::VARCHAR, 10, '0') AS phone FROM customer")
+def std_phone(spark, sf_dir):
+    raw = F.regexp_replace((F.lit(2_000_000_000) + F.col("c_custkey")).cast("string"), "^(...)(...)(....)$", "($1) $2-$3")
+    return table(spark, sf_dir, "customer").select("c_custkey", phone.standardize_phone(raw, ("US",)).alias("phone"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'GB' WHEN 2 THEN 'FR' END AS country FROM nation")
+def std_country(spark, sf_dir):
+    raw = F.element_at(F.array(F.lit(" usa "), F.lit("826"), F.lit("France"), F.lit("zzz")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return phone.standardize_country(table(spark, sf_dir, "nation").withColumn("raw", raw), "raw").select("n_nationkey", "country")
+
+
+@query()
+def double_metaphone(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"))
+    return words.select("p_partkey", F.array_join(phonetic.double_metaphone_codes("word"), "|").alias("codes"))
+
+
+@query("SELECT a.n_nationkey AS i, b.n_nationkey AS j, round(jaro_winkler_similarity(a.n_name, b.n_name), 9) AS jw, round(1 - levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(length(a.n_name), length(b.n_name)), 9) AS lev, round(1 - damerau_levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(length(a.n_name), length(b.n_name)), 9) AS dl FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def similarities(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name")
+    pairs = n.alias("a").join(n.alias("b"), F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"))
+    a, b = F.col("a.n_name"), F.col("b.n_name")
+    return pairs.select(F.col("a.n_nationkey").alias("i"), F.col("b.n_nationkey").alias("j"), F.round(similarity.compare_strings(a, b, "JaroWinkler"), 9).alias("jw"), F.round(similarity.compare_strings(a, b, "Levenshtein"), 9).alias("lev"), F.round(similarity.compare_strings(a, b, "DamerauLevenshtein"), 9).alias("dl"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') || ' 12:00 AM UTC' AS at, strftime(o_orderdate, '%m/%d/%Y') AS day, date_diff('year', DATE '1970-01-01', o_orderdate::DATE) AS age FROM orders")
+def display_forms(spark, sf_dir):
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.display_datetime(iso).alias("at"), text.display_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("day"), text.age_years(F.lit("1970-01-01").cast("date"), F.col("o_orderdate").cast("date")).cast("long").alias("age"))
+
+
+# Tabulation: orders refer to customers, line items refer to orders.
+def _resources(spark, sf_dir) -> DataFrame:
+    ref = lambda kind, c: F.struct(F.concat(F.lit(f"{kind}/"), F.col(c).cast("string")).alias("reference"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", ref("Patient", "o_custkey").alias("subject"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", ref("Encounter", "l_orderkey").alias("encounter"))
+    return tabulation.resources_of(c, "Patient", F.col("c_custkey"), "include").unionByName(tabulation.resources_of(o, "Encounter", F.col("o_orderkey"))).unionByName(tabulation.resources_of(items, "Observation", F.concat_ws("-", "l_orderkey", "l_linenumber"), "include"))
+
+
+_FORWARD, _REVERSE = Reference("forward", "Patient", "subject"), Reference("reverse", "Observation", "encounter")
+_KEY = ColumnSpec("o_orderkey", "o_orderkey")
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus AS status FROM orders")
+def tab_anchor(spark, sf_dir):
+    return tabulation.tabulate(_resources(spark, sf_dir), TableSpec("orders", "Encounter", (_KEY, ColumnSpec("status", "Encounter.o_orderstatus"))))
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, c_name AS name, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def tab_forward(spark, sf_dir):
+    return tabulation.tabulate(_resources(spark, sf_dir), TableSpec("orders", "Encounter", (_KEY, ColumnSpec("name", "c_name", reference=_FORWARD), ColumnSpec("segment", "Patient.c_mktsegment", reference=_FORWARD))))
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, string_agg(l_returnflag, ',' ORDER BY l_orderkey || '-' || l_linenumber, l_returnflag) AS flags FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def tab_reverse(spark, sf_dir):
+    return tabulation.flat(tabulation.tabulate(_resources(spark, sf_dir), TableSpec("orders", "Encounter", (_KEY, ColumnSpec("flags", "l_returnflag", reference=_REVERSE)))))
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus AS status, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' AND c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def tab_drop_invalid(spark, sf_dir):
+    spec = TableSpec("orders", "Encounter", (_KEY, ColumnSpec("status", "o_orderstatus", invalid_values=("F", None)), ColumnSpec("segment", "c_mktsegment", reference=_FORWARD, invalid_values=("BUILDING", "MACHINERY", None))))
+    return tabulation.drop_invalid(tabulation.tabulate(_resources(spark, sf_dir), spec), spec)
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def tab_json_path(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", fhirpath.first_text(F.parse_json("props"), "k").alias("k"))
+
+
+@query("""SELECT conv_id, count(*) AS turns, max(length(text)) FILTER (role = 'user') AS longest, string_agg(role, '|' ORDER BY turn) AS roles, count(*) FILTER (role = 'assistant') > 0 AS answered FROM conversations GROUP BY conv_id""")
+def fhirpath_functions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.char_length("text").alias("n")))).alias("item"))
+    r = F.to_variant_object(F.struct("item"))
+    longest = F.array_max(F.transform(fhirpath.texts(r, "item.where(role = 'user').n"), lambda x: x.cast("int")))
+    return c.select("conv_id", fhirpath.first_text(r, "item.count()").cast("long").alias("turns"), longest.alias("longest"), fhirpath.first_text(r, "item.role.join('|')").alias("roles"), (fhirpath.first_text(r, "item.where(role = 'assistant').exists()") == "true").alias("answered"))
+
+
+@query("SELECT conv_id, arg_min(role, turn) AS first, arg_max(role, turn) AS last, string_agg(role, ',' ORDER BY turn) AS everything FROM conversations GROUP BY conv_id")
+def select_first_last_all(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    return c.select("conv_id", *[text.select_value(F.col("roles"), k).alias(k) for k in ("first", "last")], text.list_text(text.select_value(F.col("roles"), "all")).alias("everything"))
+
+
+# Value sets: regions are conditions, nations value sets, suppliers concepts.
+def _valuesets(spark, sf_dir) -> dict[str, DataFrame]:
+    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    t = lambda c: F.col(c).cast("string")
+    return {
+        "conditions": r.select(t("r_regionkey").alias("id"), F.col("r_name").alias("name")),
+        "junction": n.select(t("n_regionkey").alias("condition_id"), t("n_nationkey").alias("valueset_id")),
+        "valuesets": n.select(t("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, "dxtc").otherwise("lotc").alias("type"), F.col("n_name").alias("name"), t("n_nationkey").alias("oid")),
+        "to_concept": s.select(t("s_nationkey").alias("valueset_id"), t("s_suppkey").alias("concept_id")),
+        "concepts": s.select(t("s_suppkey").alias("id"), F.col("s_name").alias("code"), F.lit("local").alias("code_system"), valuesets.stripped(F.col("s_name")).alias("gem_formatted_code")),
+    }
+
+
+_CONCEPTS = "FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey"
+
+
+@query(f"SELECT r_regionkey::VARCHAR AS condition_id, CASE WHEN n_nationkey % 2 = 0 THEN 'dxtc' WHEN n_nationkey IS NOT NULL THEN 'lotc' END AS type, CASE WHEN s_suppkey IS NOT NULL THEN 'local' END AS system, coalesce(string_agg(DISTINCT s_name, '|' ORDER BY s_name), '') AS codes {_CONCEPTS} GROUP BY ALL")
+def valueset_concat(spark, sf_dir):
+    v = _valuesets(spark, sf_dir)
+    return valuesets.concepts_for(v["conditions"], v["junction"], v["valuesets"], v["to_concept"], v["concepts"]).select("condition_id", F.when(F.col("type").isNotNull(), F.col("type")).alias("type"), "system", "codes")
+
+
+@query("SELECT n_nationkey::VARCHAR AS condition_id, 'dxtc' AS type, n_name AS codes, 'local' AS system FROM nation UNION ALL SELECT n_nationkey::VARCHAR, 'dxtc', r_name, 'http://hl7.org/fhir/sid/icd-9-cm' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0")
+def crosswalk_union(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = n.select(F.col("n_nationkey").cast("string").alias("condition_id"), F.lit("dxtc").alias("type"), F.col("n_name").alias("codes"), F.lit("local").alias("system"), F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).alias("icd9"))
+    return valuesets.with_crosswalk_rows(rows)
+
+
+@query("""WITH f AS (SELECT p_partkey, unnest(list_distinct([p_brand, regexp_replace(p_brand, '[^\\p{L}\\p{N}]', '', 'g')])) AS code FROM part),
+l AS (SELECT DISTINCT p_type AS condition_id, replace(p_brand, '#', '') AS code FROM part WHERE p_size < 5) SELECT DISTINCT p_partkey, condition_id FROM f JOIN l USING (code)""")
+def stamp_codes(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    listed = parts.where("p_size < 5").select(F.col("p_type").alias("condition_id"), F.regexp_replace("p_brand", "#", "").alias("code"))
+    return valuesets.stamps(parts.select("p_partkey", F.col("p_brand").alias("code")), listed, ["p_partkey"])
+
+
+# Viewer and services.
+@query("SELECT o_orderkey AS query_id, o_orderstatus AS query_name, l_linenumber AS valueset_id, p_name AS display FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F'")
+def saved_query_join(spark, sf_dir):
+    queries_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("query_name"))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("valueset_id"), "l_partkey")
+    sets = spark.range(1, 8).select(F.col("id").cast("int").alias("id"), F.lit("set").alias("name"), F.lit("dxtc").alias("type"))
+    included = lines.select(F.col("id").alias("query_by_valueset_id"), F.col("l_partkey").alias("concept_id"), F.lit(True).alias("include"))
+    concepts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("code"), F.lit("local").alias("code_system"), F.col("p_name").alias("display"))
+    return viewer.saved_query(queries_, lines, included, concepts, sets, "F").select("query_id", "query_name", "valueset_id", "display")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS FIRST, o_orderkey OFFSET 50 LIMIT 25")
+def list_page(spark, sf_dir):
+    return viewer.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 50, 25)
+
+
+@query("SELECT count(*) AS n FROM orders")
+def list_count(spark, sf_dir):
+    return viewer.total(table(spark, sf_dir, "orders"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 9) AS percent FROM customer GROUP BY c_mktsegment")
+def share_of_total(spark, sf_dir):
+    return viewer.shares(table(spark, sf_dir, "customer"), "c_mktsegment").withColumn("percent", F.round("percent", 9))
+
+
+@query("SELECT event_type AS severity, count(*) AS n FROM events GROUP BY event_type")
+def error_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, ((row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) - 1) // 500)::BIGINT AS chunk FROM lineitem")
+def batch_chunks(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return viewer.chunks(lines, "at").select("l_orderkey", "l_linenumber", "chunk")
+
+
+@query("SELECT s_nationkey AS organization, count(*) AS n, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS reports FROM supplier GROUP BY s_nationkey")
+def labs_by_organization(spark, sf_dir):
+    found = viewer.by_organization(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("organization"), F.col("s_suppkey").alias("id")))
+    return found.select("organization", "n", F.array_join(F.transform("reports", lambda x: x.cast("string")), ",").alias("reports"))
+
+
+@query("SELECT n_regionkey AS condition, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS rules FROM nation GROUP BY n_regionkey")
+def condition_rules(spark, sf_dir):
+    found = viewer.reportable_rules(table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("condition"), F.col("n_name").alias("rule"), F.col("n_nationkey").alias("jurisdiction")))
+    return found.select("condition", F.array_join(F.transform("rules", lambda r: r["rule"]), ",").alias("rules"))
+
+
+@query("SELECT c_custkey, c_nationkey % 5 AS area FROM customer WHERE c_nationkey % 5 < 4")
+def points_in_areas(spark, sf_dir):
+    """Customers placed at (nation % 5 + 0.5, 0.5); area k is the unit square from k."""
+    points = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 5 + 0.5).alias("lng"), F.lit(0.5).alias("lat"))
+    corner = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    areas = spark.range(4).select(F.col("id").cast("int").alias("area"), F.array(corner("id", 0), corner("id + 1", 0), corner("id + 1", 1), corner("id", 1)).alias("ring"))
+    return patients.points_by_area(points, areas).select("c_custkey", "area")
+
+
+@query("SELECT a.s_suppkey AS id, max(b.s_suppkey) AS telecom FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY a.s_suppkey")
+def same_organization(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("pos"), F.col("s_suppkey").alias("telecom"), F.col("s_nationkey").alias("line"), *[none.alias(c) for c in ("city", "state", "postal_code", "country")])
+    return viewer.same_organization(s)
