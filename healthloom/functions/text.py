@@ -151,7 +151,7 @@ def ordered_distinct(values: Column, separator: str = ", ") -> Column:
 def sanitized_codes(value: Column) -> Column:
     """A list cut at the first of comma, bar and semicolon that occurs, trimmed, without empties."""
     cut = F.when(F.contains(value, F.lit(",")), F.split(value, ",")).when(F.contains(value, F.lit("|")), F.split(value, r"\|")).when(F.contains(value, F.lit(";")), F.split(value, ";")).otherwise(F.array(value))
-    return F.filter(F.transform(cut, F.trim), lambda c: c != "")
+    return F.filter(F.transform(cut, lambda c: F.trim(c)), lambda c: c != "")
 
 
 def select_value(values: Column, criteria: str = "first", seed: int | None = None) -> Column:
