@@ -135,7 +135,7 @@ def write_matrices(docs: DataFrame, path: str, **options) -> None:
 def documents(rows: DataFrame) -> DataFrame:
     """doc_id, ids: the documents back from matrices(), for ids that occur once. The round trip that shows nothing is lost."""
     parts = rows.selectExpr("posexplode(doc_ids) as (k, doc_id)", "starts", "cu_seqlens", "input_ids").selectExpr("doc_id", "starts[k] as start", "slice(input_ids, cu_seqlens[k] + 1, cu_seqlens[k + 1] - cu_seqlens[k]) as ids")
-    return parts.groupBy("doc_id").agg({"doc_id": "count"}).drop("count(doc_id)").join(parts.groupBy("doc_id").agg(_in_order()), "doc_id")
+    return parts.groupBy("doc_id").agg(_in_order())
 
 
 def _in_order():

@@ -1,0 +1,400 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, on small tables with the awkward cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from healthloom.llm import ann, binpack, langid, licences, mixing, neardup, packing, pii, quality, suffix
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Documents with nulls, empties, ties, repeated rows, long texts, exact and near copies."""
+    rng = random.Random(5)
+    out = [(i, sentence(rng, 60) + ".\n" + sentence(rng, 30) + ".", "en", f"s{i % 3}") for i in range(30)]
+    out += [(40 + i, out[i][1], "en", "s0") for i in range(6)]
+    for i in range(6):
+        words = out[i + 6][1].split(" ")
+        words[40] = "changed"
+        out.append((50 + i, " ".join(words), "en", "s1"))
+    shared = sentence(rng, 40)
+    out += [(60 + i, f"{sentence(rng, 15)} {shared} {sentence(rng, 15)}", "en", "s2") for i in range(5)]
+    out += [(70, None, "en", "s0"), (71, "", None, None), (72, "   \n ", "en", None), (73, "short text", "en", "s9"), (74, "é" * 80, "fr", "s9"), (75, sentence(rng, 6000), "en", "s0"), (76, "a" * 3000, "xx", "s0")]
+    out += [out[0], (None, sentence(rng, 25), "en", "s0")]
+    return [(*r, None if r[1] is None else len(r[1])) for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# 1
+def brute_cut(rows):
+    starts = defaultdict(lambda: float("inf"))
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        for s in range(len(b) - 49) if i is not None else ():
+            starts[b[s : s + 50]] = min(starts[b[s : s + 50]], i)
+    out = []
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 49) if i is not None else ():
+            if starts[b[s : s + 50]] < i:
+                gone[s : s + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
+        out.append((i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def key(r):
+    return tuple((x is None, x if x is not None else 0) for x in r[:3])
+
+
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 333, "MOST_SUFFIXES": 500, "HOT_ROWS": 2}])
+def test_suffix_dedup(docs, rows, none, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(suffix, k, v)
+    got = [tuple(r)[:5] for r in suffix.cut(docs).collect()]
+    assert sorted(got, key=key) == sorted(brute_cut(rows), key=key)
+    assert suffix.cut(none).count() == 0
+
+
+def test_suffix_sort_and_extensions():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 2, 4000).astype(np.uint8)
+    prefix, at = suffix.prefix_hashes(data), rng.permutation(3900)[:700]
+    group = rng.integers(0, 3, len(at))
+    order = suffix.sorted_suffixes(data, prefix, group, at)
+    found = [(group[i], data[at[i] : at[i] + 50].tobytes()) for i in order]
+    assert found == sorted(found)
+    x, y = at[:300], at[300:600]
+    want = [next((k for k in range(50) if data[a + k] != data[b + k]), 50) for a, b in zip(x, y, strict=True)]
+    assert suffix.common(prefix, x, y).tolist() == want
+
+
+# 2
+def test_language_mixture(spark, sf_dir, none):
+    found = langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas()
+    truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").toPandas().set_index("doc_id")["lang"]
+    out = found[found["held_out"]]
+    assert len(out) > 20 and (out["lang_pred"] == out["doc_id"].map(truth)).mean() > 0.95
+    assert found["score"].between(0, 1).all()
+    assert langid.identify(none).count() == 0
+
+
+def test_language_edges(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out()))
+    en, fr = (docs.where(f"lang = '{x}' AND n_chars > 500").first()["text"] for x in ("en", "fr"))
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (None, en), (5, en[:1500] + "\n" + fr[:1500])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[None]["lang_pred"] == "en"
+    assert set(got[5]["mixture"]) == {"en", "fr"} and 0.2 < got[5]["mixture"]["en"] < 0.8
+    assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# 3
+def test_mixing_counts(spark, docs, none):
+    many = spark.range(4000).select("id", F.concat(F.lit("s"), F.pmod("id", F.lit(4)).cast("string")).alias("source"), F.lit("x").alias("copy")).withColumnRenamed("id", "doc_id")
+    weights = spark.createDataFrame([("s:s0", 6.0), ("s:s1", 3.0), ("s:s2", 1.0)], "source_key string, weight double")
+    out = mixing.mix(many, weights).cache()
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(n["s0"] - 2400) < 200 and abs(n["s1"] - 1200) < 150 and abs(n["s2"] - 400) < 80 and "s3" not in n
+    assert out.select("shuffle_key").distinct().count() == out.count()
+    assert sorted(map(tuple, mixing.mix(many.repartition(7), weights).select("doc_id", "copy").collect())) == sorted(map(tuple, out.select("doc_id", "copy").collect()))
+    assert mixing.mix(none).count() == 0
+    again = mixing.mix(docs).groupBy("doc_id").count().where("doc_id = 0").first()
+    assert again is None or again["count"] % 2 == 0
+
+
+def test_poisson_steps(spark):
+    for rate in (0.3, 5.0, 900.0):
+        steps = spark.range(1).select(mixing.poisson_steps(F.lit(rate)).alias("s")).first()["s"]
+        want, term = [], -rate
+        total = np.exp(term) if rate < 700 else 0.0
+        for k in range(1, len(steps)):
+            want.append(total)
+            term += np.log(rate / k)
+            total += np.exp(term)
+        assert np.allclose(steps[:-1], want, atol=1e-9) and abs(steps[-1] - 1) < 1e-6
+
+
+# 4
+TEXT = "Mail ana.b@mail1.example.com or ANA.B@x.org, call +1 (743) 555-3824, 4785380592391139, 10.1.2.3, 123-45-6789. Mr. Smith saw Ms Jane Doe; Г-н Иванов. token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\""
+
+
+def test_surrogates(spark, none):
+    rows = [(1, TEXT), (2, "again ana.b@mail1.example.com and Mr. Smith"), (3, None), (4, ""), (5, "nothing in 2024 here, v1.2.3"), (1, TEXT)]
+    out = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string").withColumn("N_PII", F.lit("x"))).collect()}
+    t = out[1]["text"]
+    for old in ("ana.b@", "ANA.B@", "555-3824", "4785380592391139", "10.1.2.3", "123-45-6789", "Smith", "Doe", "Иванов", "1eb9c654"):
+        assert old not in t
+    assert out[3]["text"] is None and out[4]["text"] == "" and out[5]["text"] == "nothing in 2024 here, v1.2.3" and out[5]["n_pii"] == 0
+    mail, name = re.search(r"Mail (\S+) or", t)[1], re.search(r"(Mr\. \S+)", t)[1]
+    assert out[2]["text"] == f"again {mail} and {name}"
+    card = re.search(r"\b4\d{15}\b", t)[0]
+    digits = [int(d) for d in card]
+    assert sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(digits)) % 10 == 0
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", t) and re.search(r'"[0-9a-f]{40}"', t) and re.search("Г-н [А-Я]", t)
+    assert name.split()[1] in pii.NAMES["latin_m"] and re.search(r"Ms (\w+)", t)[1] in pii.NAMES["latin_f"]
+    assert pii.replace(none).count() == 0
+
+
+@pytest.mark.parametrize("most", [pii.MOST_MOVED, 0])
+def test_surrogates_stay_distinct(spark, monkeypatch, most):
+    monkeypatch.setattr(pii, "MOST_MOVED", most)
+    names = [f"Mr X{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    rows = [(i, f"{n} spoke") for i, n in enumerate(names)] + [(500, " and ".join(names))]
+    out = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    single = [out[i].removesuffix(" spoke") for i in range(120)]
+    assert len(set(single)) == 120
+    assert out[500] == " and ".join(single)
+
+
+# 5
+def test_packing(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    got = packing.pack(docs, block_tokens=3000).toPandas()
+    want = defaultdict(list)
+    for r in rows:
+        want[r[0]].append(np.array(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4"))
+    sizes = got.groupby("sequence_id")["length"].sum()
+    assert sizes.max() <= 1024
+    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in sizes)
+    assert padding / sizes.sum() < 0.02
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
+    for doc_id, ids in want.items():
+        mine = got[got["doc_id"].isna() if doc_id is None else got["doc_id"] == doc_id]
+        assert mine["length"].sum() == sum(map(len, ids)) and (mine["doc_tokens"] == len(ids[0])).all()
+        for p in mine.itertuples():
+            assert zlib.crc32(ids[0][p.start : p.start + p.length].tobytes()) == p.ids_crc32
+    assert packing.pack(none).count() == 0
+
+
+def test_cuts_are_optimal():
+    rng = random.Random(2)
+    for _ in range(60):
+        window, n = 8, rng.randint(1, 14)
+        ends = np.cumsum([rng.randint(1, 5) for _ in range(n)])
+        at, pen = packing.boundaries(ends, ends[::2], grid=3)
+        got = packing.cuts(at, pen, window)
+
+        def cost(ends_, at=at, pen=pen):
+            total, last = 0.0, 0
+            for e in ends_:
+                size = e - last
+                total += (0 if size & (size - 1) == 0 else window - size) + pen[list(at).index(e)] + packing.WINDOW_COST
+                last = e
+            return total
+
+        best = {0: 0.0}
+        for j, p in enumerate(at[1:], 1):
+            best[p] = min(best[q] + (0 if (p - q) & (p - q - 1) == 0 else window - (p - q)) + pen[j] + packing.WINDOW_COST for q in at[:j] if p - q <= window)
+        assert cost(got.tolist()) == pytest.approx(best[at[-1]])
+
+
+def test_fast_encoding_is_the_tokenizers():
+    from healthloom.llm.tokens import encoder
+
+    enc, rng = encoder(packing.tokenizer_path()), random.Random(4)
+    signs = "abcXYZ éß  \n\t.,'!?0129_$%-ñ" + "’日 \x1c²½"
+    for _ in range(400):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60)))
+        assert enc.encode(t) == enc.ids(t), repr(t)
+    for t in ("it's we'll I'd", "x <|endoftext|> y", "   a  b   ", "\n\n a"):
+        assert enc.encode(t) == enc.ids(t)
+
+
+# 6
+def test_jaccard_join(docs, rows, none):
+    one = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            w = (t or "").lower().split()
+            one[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    links, group = defaultdict(int), {i: i for i in one}
+    for a in one:
+        for b in one:
+            if a < b and one[a] and len(one[a] & one[b]) >= 0.8 * len(one[a] | one[b]):
+                links[a] += 1
+                links[b] += 1
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.join(docs).collect()}
+    assert got == {i: (group[i], links[i]) for i in one}
+    assert neardup.join(none).count() == 0
+    kept = [r["doc_id"] for r in neardup.stage(docs).select("doc_id").distinct().collect()]
+    assert set(kept) == {None} | {i for i in one if group[i] == i}
+
+
+def test_large_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(8)
+    base = sentence(rng, 300).split()
+    texts = []
+    for k in range(80):
+        w = list(base)
+        w[rng.randrange(300)] = f"own{k}"
+        texts.append(" ".join(w))
+    got = neardup.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 79)}
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    group = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((group[a], group[b]))
+        group = {k: low if g == high else g for k, g in group.items()}
+    got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    alone = {a for a, b in edges if a == b}
+    assert got == {k: g for k, g in group.items() if k in got} and set(group) - set(got) <= alone
+
+
+# 7
+@pytest.mark.parametrize(("n", "bucket"), [(3000, 100), (60, 1000)])
+def test_search_recall(spark, n, bucket):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    x = (centres[rng.integers(0, 12, n)] + 0.4 * rng.normal(size=(n, 16))) * rng.uniform(0.5, 2, (n, 1))
+    x[n // 2 :][: n // 10] = x[0]
+    bad = [(n, None), (n + 1, [0.0] * 16), (n + 2, [None] * 16), (n + 3, [float("nan")] * 16), (n + 4, [float("inf")] * 16), (n + 5, [1.0]), (None, [1.0] * 16)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + bad
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), bucket=bucket).toPandas()
+    hits, total = 0, 0
+    for q in range(0, n, 20):
+        s = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(n), -s)) if i != q][:20]
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21))
+        assert np.allclose(mine["score"], s[mine["vec_id"]]) and (np.diff(mine["score"]) <= 1e-12).all()
+        hits, total = hits + len(set(order) & set(mine["vec_id"])), total + 20
+    assert hits / total >= (0.9 if n > 1000 else 1.0)
+
+
+def test_search_small_and_empty(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in ann.search(rows).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
+    assert ann.search(rows.limit(0)).count() == 0
+
+
+# 8
+def brute_counts(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    twice, hit = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else set(), set()
+    for i, g in enumerate(grams):
+        if g in twice:
+            hit |= set(range(i, i + 8))
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_counts(spark, rows, none):
+    loop = " ".join(WORDS[:9] * 5)
+    texts = [r[1] for r in rows if r[1] is None or len(r[1]) < 9000] + [loop, f"{loop} x {loop}", "a\nb\na\n\n \na", "#*$%&|<> ok", "one two\x0bthree"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in quality.COUNTS) for r in quality.text_counts(df).collect()}
+    assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
+    assert quality.judge(none).count() == 0
+
+
+def test_host_verdicts(spark):
+    good = " ".join(WORDS + WORDS[:5])
+    rows = [(i, good if i % 10 else "bad", "fine") for i in range(100)] + [(200 + i, "bad" if i < 95 else good, "spam") for i in range(100)] + [(400, good, None), (401, "bad", None)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("KEPT", F.lit(1))).collect()}
+    assert all(got[i]["kept"] == bool(i % 10) for i in range(100))
+    assert not any(got[200 + i]["kept"] for i in range(100)) and not got[299]["base_failed"]
+    assert got[400]["kept"] and not got[401]["kept"]
+    assert quality.beta_prior(0, 0, 0, 0.0)[0] == 0.0
+    assert quality.stage(spark.createDataFrame(rows, "doc_id long, text string, source string")).columns == ["doc_id", "text", "source"]
+
+
+# 9
+def test_licences(spark, none):
+    rows = [
+        (1, "Released under the MIT License."),
+        (2, "x Licensed under the Apache License, Version 2.0. And GNU General Public License, version 3 or later"),
+        (3, "GNU Lesser General Public License v2.1 only"),
+        (4, "Licensed under CC BY-NC 4.0."),
+        (5, None),
+        (6, ""),
+        (7, "nothing at all, submit licenses"),
+        (8, "MIT LICENSE mit license\nmit-license CC  BY"),
+        (9, "all rights reserved " * 300 + "ISC license"),
+        (10, "ÄMIT License café gnu general public license"),
+    ]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["labels"], got[1]["first_word"], got[1]["n_base"]) == ("mit", 3, 1)
+    assert got[2]["labels"] == "apache,apache-2.0,gpl,gpl-3-or-later" and (got[2]["first_word"], got[2]["last_word"]) == (4, 10)
+    assert got[3]["labels"] == "lgpl-2.1-only" and got[3]["base_labels"] == ""
+    assert got[4]["labels"] == "cc-by,cc-by-nc-4.0"
+    assert (got[5]["n_words"], got[5]["labels"], got[5]["score"], got[5]["first_word"]) == (0, "", 0.0, None)
+    assert got[7]["labels"] == "" and got[7]["n_words"] == 5
+    assert (got[8]["n_base"], got[8]["first_word"], got[8]["last_word"], got[8]["base_labels"]) == (4, 0, 6, "cc-by,mit")
+    assert got[9]["labels"] == "isc,proprietary" and got[10]["base_labels"] == "gpl"
+    assert len(licences.rules()) > 200 and licences.scan(none).count() == 0
+
+
+# 10
+def test_matrices(spark, docs, rows, none, tmp_path):
+    from healthloom.llm.tokens import encoder
+
+    some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    made = binpack.matrices(some, block_tokens=20_000).cache()
+    for r in made.collect():
+        assert len(r["input_ids"]) == len(r["position_ids"]) == 1024 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] <= 1024
+        for a, b in zip(r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
+            assert r["position_ids"][a:b] == list(range(b - a))
+    enc, texts = encoder(binpack.tokenizer_path()), {r[0]: r[1] for r in rows}
+    back = {r["doc_id"]: r["ids"] for r in binpack.documents(made).collect()}
+    assert back == {r["doc_id"]: np.frombuffer(enc.encode(texts[r["doc_id"]]), "<u4").tolist() + [0] for r in some.select("doc_id").collect()}
+    binpack.write_matrices(some, str(tmp_path / "m"))
+    r = spark.read.parquet(str(tmp_path / "m")).first()
+    assert len(np.frombuffer(r["input_ids"], "<i4")) == 1024
+    assert binpack.matrices(none).count() == 0
+
+
+def test_best_fit():
+    rng = random.Random(1)
+    for _ in range(30):
+        sizes = [rng.randint(1, 64) for _ in range(rng.randint(0, 60))]
+        rows = binpack.best_fit_decreasing(sizes, 64)
+        assert sorted(i for r in rows for i in r) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in r) <= 64 for r in rows)
+        # Plain best fit, by search over all rows.
+        room = []
+        for s in sorted(sizes, reverse=True):
+            fits = [k for k, x in enumerate(room) if x >= s]
+            if fits:
+                k = min(fits, key=lambda j: room[j])
+                room[k] -= s
+            else:
+                room.append(64 - s)
+        assert sorted(room) == sorted(64 - sum(sizes[i] for i in r) for r in rows)
