@@ -18,10 +18,6 @@ def normalize_datetime(value: Column) -> Column:
     return F.when(value.rlike(p), text).otherwise(value)
 
 
-def _with_field(fields: Column, at: int, change) -> Column:
-    return F.when(F.size(fields) > at, F.transform(fields, lambda f, i: F.when(i == at, change(f)).otherwise(f))).otherwise(fields)
-
-
 def _place(segment: str, field: int) -> int:
     # The field separator itself is MSH-1.
     return field - 1 if segment == "MSH" else field
@@ -31,26 +27,27 @@ def _lines(message: Column) -> Column:
     return F.split(message, "[\r\n]+")
 
 
-def normalize_datetime_segment(line: Column, segment: str, fields: tuple[int, ...]) -> Column:
-    """A line with its date fields normalised, first components alone."""
+def _normalized(line: Column, places: Column) -> Column:
+    """The line with the fields at places normalised in their first components."""
 
     def first_component(f: Column) -> Column:
-        return F.when(f != "", F.concat(normalize_datetime(F.split_part(f, F.lit("^"), F.lit(1))), F.regexp_extract(f, r"^[^^]*(\^.*)?$", 1))).otherwise(f)
+        return F.concat(normalize_datetime(F.split_part(f, F.lit("^"), F.lit(1))), F.regexp_extract(f, r"^[^^]*(\^.*)?$", 1))
 
-    parts = F.split(line, r"\|")
-    for field in fields:
-        parts = _with_field(parts, _place(segment, field), first_component)
-    return F.when(F.startswith(line, F.lit(f"{segment}|")), F.array_join(parts, "|")).otherwise(line)
+    return F.array_join(F.transform(F.split(line, r"\|"), lambda f, i: F.when((f != "") & F.array_contains(places, i), first_component(f)).otherwise(f)), "|")
+
+
+def normalize_datetime_segment(line: Column, segment: str, fields: tuple[int, ...]) -> Column:
+    """A line with its date fields normalised, if it is such a segment."""
+    return F.when(F.startswith(line, F.lit(f"{segment}|")), _normalized(line, F.array(*[F.lit(_place(segment, f)) for f in fields]))).otherwise(line)
 
 
 def standardize_datetimes(message: Column) -> Column:
-    """The message with all its known date fields normalised; lines end as CR and LF alternate in it: with LF."""
+    """The message with all its known date fields normalised; its lines end with LF."""
+    known = F.create_map(*[x for s, fields in DATETIME_FIELDS.items() for x in (F.lit(s), F.array(*[F.lit(_place(s, f)) for f in fields]))])
 
     def one(line: Column) -> Column:
-        out = line
-        for segment, fields in DATETIME_FIELDS.items():
-            out = F.when(F.startswith(line, F.lit(f"{segment}|")), normalize_datetime_segment(line, segment, fields)).otherwise(out)
-        return out
+        places = F.try_element_at(known, F.split_part(line, F.lit("|"), F.lit(1)))
+        return F.when(places.isNotNull(), _normalized(line, places)).otherwise(line)
 
     return F.array_join(F.transform(_lines(message), one), "\n")
 

@@ -85,7 +85,7 @@ def match_pairs(data: DataFrame, p: Pass, record_id: str) -> DataFrame:
     return pairs.where(rule(p, [value(f) for f in fields])).select("id_i", "id_j")
 
 
-def _local_feature(name: str, field: str, a, b, p: Pass) -> float:
+def _local_feature(name: str, field: str, a, b, p: Pass, known) -> float:
     weight = p.log_odds.get(field, 0.0)
     null = a is None and b is None
     if name == "feature_match_exact":
@@ -96,15 +96,34 @@ def _local_feature(name: str, field: str, a, b, p: Pass) -> float:
         return weight if a == b else 0.0
     if name == "feature_match_fuzzy_string" and (null or (a == "" and b == "")):
         return True
-    score = 0.0
-    if a is not None and b is not None:
-        of = {"JaroWinkler": sim.jaro_winkler, "DamerauLevenshtein": sim.damerau}.get(p.similarity_measure)
-        score = float(of([a], [b])[0]) if of else _levenshtein(a, b)
+    score = known(a, b) if a is not None and b is not None else 0.0
     if name == "feature_match_fuzzy_string":
         return score >= p.threshold
     return score * weight if score >= p.threshold else 0.0
 
 
+def _scores(records: list[dict], p: Pass):
+    """Similarity of two values of a block. With few distinct values all pairs of them are scored in one vector call."""
+    of = {"JaroWinkler": sim.jaro_winkler, "DamerauLevenshtein": sim.damerau}.get(p.similarity_measure)
+    found: dict[tuple[str, str], float] = {}
+    fuzzy = [f for f, n in p.funcs.items() if "fuzzy" in n]
+    values = sorted({r[f] for r in records for f in fuzzy if r[f] is not None})
+    if of and 1 < len(values) <= MOST_SCORED:
+        left, right = [a for a in values for _ in values], [b for _ in values for b in values]
+        found = dict(zip(zip(left, right, strict=True), of(left, right).tolist(), strict=True))
+
+    def known(a: str, b: str) -> float:
+        if (a, b) not in found:
+            found[a, b] = float(of([a], [b])[0]) if of else _levenshtein(a, b)
+        return found[a, b]
+
+    return known
+
+
+#: Distinct values of a block that are all scored against each other at once.
+MOST_SCORED = 100
+
+
 def _levenshtein(a: str, b: str) -> float:
     if not a and not b:
         return 1.0
@@ -118,12 +137,12 @@ def _levenshtein(a: str, b: str) -> float:
 
 def greedy_clusters(records: list[dict], p: Pass) -> list[list[int]]:
     """Places of records by cluster: each joins the first cluster of which it matches the ratio or more, else starts its own."""
-    ratio, clusters, seen = p.cluster_ratio or 0.0, [], {}
+    ratio, clusters, seen, known = p.cluster_ratio or 0.0, [], {}, _scores(records, p)
 
     def matches(i: int, j: int) -> bool:
         key = tuple((records[i][f], records[j][f]) for f in p.funcs)
         if key not in seen:
-            values = [_local_feature(n, f, records[i][f], records[j][f], p) for f, n in p.funcs.items()]
+            values = [_local_feature(n, f, records[i][f], records[j][f], p, known) for f, n in p.funcs.items()]
             seen[key] = all(values) if p.matching_rule == "eval_perfect_match" else sum(values) >= p.true_match_threshold
         return seen[key]
 
