@@ -21,4 +21,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), true) AS kept FROM b
 """
 
-ORACLES = {"op8_host_quality_rules": OP8}
+OP3 = """
+WITH d AS (SELECT *, coalesce('s:' || source, 'null') AS k, (('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+s AS (SELECT k, count(*)::DOUBLE AS n, pow(count(*)::DOUBLE, 0.7::DOUBLE) AS w FROM d GROUP BY k),
+r AS (SELECT k, w / sum(w) OVER () * sum(n) OVER () / n AS rate FROM s),
+p AS (SELECT k, sum(exp(-rate + i * ln(rate) - lgamma(i + 1))) OVER (PARTITION BY k ORDER BY i) AS c FROM r, range(0, 1000) t(i) WHERE i <= ceil(rate + 12 * sqrt(rate) + 30)),
+m AS (SELECT u, k, count(*) FILTER (c < u) AS n FROM (SELECT DISTINCT u, k FROM d) JOIN p USING (k) GROUP BY u, k),
+c AS (SELECT d.*, unnest(range(1, m.n + 1))::INT AS copy FROM d JOIN m ON d.k = m.k AND d.u = m.u)
+SELECT doc_id, text, lang, source, n_chars, copy, md5('42|copy|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy) AS shuffle_key FROM c
+"""
+
+ORACLES = {"op3_poisson_mixing": OP3, "op8_host_quality_rules": OP8}
