@@ -221,7 +221,8 @@ def blocks(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, buckets: i
             yield b[same]
 
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
-    held = texts.join(nodes, "node").mapInPandas(run, "node long, part long, size long, copies long, shingles binary")
+    # nodes grow with the corpus: joined by a shuffle at every size, never broadcast.
+    held = texts.join(nodes.hint("merge"), "node").mapInPandas(run, "node long, part long, size long, copies long, shingles binary")
     n = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     side = F.pmod(F.xxhash64("node"), n).cast("int")
     bucket = F.when(n > 1, -1 - F.pmod(F.col("part"), F.lit(2**62))).otherwise(F.pmod(F.xxhash64("part"), F.lit(buckets)))
