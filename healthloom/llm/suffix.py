@@ -33,7 +33,9 @@ from .common import written
 
 SPAN, GRAM = 50, 20
 #: Bytes of text hashed at once, and suffixes sorted at once by a task; both bound memory alone.
-CHUNK, MOST_SUFFIXES = 1 << 20, 1 << 19
+CHUNK, MOST_SUFFIXES = 1 << 18, 1 << 17
+#: Rows of an Arrow batch that are worked on, and given on, at once.
+ROWS = 500
 #: Anchors with more rows than this are dealt by string, so that no task holds them whole.
 HOT_ROWS = 50_000
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -113,11 +115,17 @@ def text_key(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
+def few_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for s in range(0, len(b), ROWS):
+            yield b.iloc[s : s + ROWS]
+
+
 def owned(docs: DataFrame) -> DataFrame:
     """doc, anchor, own: once a text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in few_rows(batches):
             ids, hs, os = [], [], []
             for doc, text in zip(b["doc"], b["text"], strict=True):
                 _, _, _, h, o = anchors(np.frombuffer(_bytes(text), np.uint8))
@@ -146,7 +154,7 @@ def edges(texts: DataFrame) -> DataFrame:
     """anchor, doc, key (of the text), start, back (from the anchor to start), body (the owned text) of the edges of texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in few_rows(batches):
             out = []
             for doc, text, edge in zip(b["doc"], b["text"], b["edge"], strict=True):
                 raw = _bytes(text)
@@ -336,7 +344,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text:
     marks = written(flagged.where(F.size("gone") > 0).select("doc", "gone").join(cuts, "doc", "full"), "marks")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in few_rows(batches):
             out = []
             for doc, t, gone, cut_rows in zip(b["doc"], b["text"], b["gone"], b["cuts"], strict=True):
                 raw = _bytes(t)
