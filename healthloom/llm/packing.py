@@ -38,7 +38,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Sorted positions where the stream may be cut, and the penalty of each. 0 is the first."""
     total = int(doc_ends[-1]) if len(doc_ends) else 0
-    at = np.union1d(np.union1d(doc_ends, sentence_ends), np.arange(0, total, grid))
+    # Near the end every position may be a cut, so that powers of two can close the stream.
+    at = np.union1d(np.union1d(doc_ends, sentence_ends), np.union1d(np.arange(0, total, grid), np.arange(max(0, total - WINDOW), total)))
     at = np.union1d(at[(at > 0) & (at <= total)], [0])
     penalty = np.full(len(at), INNER_PENALTY)
     penalty[np.isin(at, sentence_ends)] = SENTENCE_PENALTY
@@ -53,8 +54,13 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> np.ndarra
         return at[:0]
     place = np.full(int(at[-1]) + 1, -1, np.int32)
     place[at] = np.arange(n, dtype=np.int32)
-    places, pos, pen = place.tolist(), at.tolist(), penalty.tolist()
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
+    # Boundaries a power of two before each, as one list with a start for each boundary.
+    pairs = [(np.flatnonzero(at >= w), at[at >= w] - w) for w in (1 << k for k in range(window.bit_length()))]
+    to, source_at = np.concatenate([j for j, _ in pairs]), place[np.concatenate([p for _, p in pairs])]
+    to, source_at = to[source_at >= 0], source_at[source_at >= 0]
+    by_to = np.argsort(to, kind="stable")
+    before, begins = source_at[by_to].tolist(), np.searchsorted(to[by_to], np.arange(n + 1)).tolist()
+    pos, pen = at.tolist(), penalty.tolist()
     cost, back = [0.0] * n, [0] * n
     queue: deque[int] = deque([0])
     value = [0.0] * n
@@ -65,11 +71,8 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> np.ndarra
             queue.popleft()
         i = queue[0]
         best, source = value[i] - low, i
-        for length in powers:
-            if length > p:
-                break
-            k = places[p - length]
-            if k >= 0 and cost[k] < best:
+        for k in before[begins[j] : begins[j + 1]]:
+            if cost[k] < best:
                 best, source = cost[k], k
         cost[j] = c = best + pen[j] + WINDOW_COST
         back[j] = source
