@@ -52,12 +52,8 @@ _PART_PAIRS = "FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b
 
 
 def _document_pass(threshold: float, measure: str = "JaroWinkler") -> Pass:
-    return Pass({"head": FUZZY}, (BlockKey("lang"), BlockKey("source"), BlockKey("size_class")), "eval_perfect_match", threshold=threshold, similarity_measure=measure)
-
-
-def _document_heads(docs: DataFrame) -> DataFrame:
-    """Records of documents: the first 64 characters, blocked by language, source and length class (32 characters)."""
-    return docs.select("doc_id", "lang", "source", F.floor(F.col("n_chars") / 32).alias("size_class"), F.left("text", F.lit(64)).alias("head"))
+    """Records of documents: whole texts, blocked by language and source."""
+    return Pass({"text": FUZZY}, (BlockKey("lang"), BlockKey("source")), "eval_perfect_match", threshold=threshold, similarity_measure=measure)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +76,7 @@ _HEADS = "WITH d AS (SELECT doc_id, lang, source, n_chars // 32 AS size_class, l
 
 @query(f"{_HEADS} jaro_winkler_similarity(a.head, b.head) >= 0.8")
 def link_fuzzy_jw(spark, sf_dir):
-    return link.match_pairs(_document_heads(table(spark, sf_dir, "documents")), _document_pass(0.8), "doc_id")
+    return link.match_pairs(table(spark, sf_dir, "documents"), _document_pass(0.8), "doc_id")
 
 
 @query(f"SELECT a.p_partkey AS id_i, b.p_partkey AS id_j {_PART_PAIRS} WHERE 1.0::DOUBLE - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.55")

@@ -78,7 +78,11 @@ def match_pairs(data: DataFrame, p: Pass, record_id: str) -> DataFrame:
     pairs = side("i").join(side("j"), keys).where("id_i < id_j")
     value = lambda f: feature(p.funcs[f], f, F.col(f"i_{f}"), F.col(f"j_{f}"), p)
     if p.matching_rule == "eval_perfect_match":
-        # Native features first: pairs that fail them never reach Python.
+        # Native features first: pairs that fail them, or whose lengths and prefixes rule out the threshold, never reach Python.
+        for f in fields:
+            if p.funcs[f] == "feature_match_fuzzy_string" and p.similarity_measure == "JaroWinkler":
+                a, b = F.col(f"i_{f}"), F.col(f"j_{f}")
+                pairs = pairs.where(F.coalesce(sim.jaro_winkler_bound(a, b) >= p.threshold - 1e-9, F.lit(True)))
         for f in sorted(fields, key=lambda f: not is_native(p.funcs[f], p)):
             pairs = pairs.where(value(f))
         return pairs.select("id_i", "id_j")
