@@ -223,7 +223,7 @@ def mpi_flat_view(spark, sf_dir):
 # Harmonisation.
 @query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(left(text, 80), '[^\\p{L}\\p{N} ]', '', 'g'), '\\p{N}', '', 'g'), ' ')) AS name FROM documents")
 def std_name(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.standardize_name(F.left("text", F.lit(80)), case="lower").alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.standardize_name(F.col("text"), case="lower").alias("name"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS born FROM orders")
@@ -278,8 +278,7 @@ def std_country(spark, sf_dir):
 
 @query()
 def double_metaphone(spark, sf_dir):
-    words = table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"))
-    return words.select("p_partkey", F.array_join(phonetic.double_metaphone_codes("word"), "|").alias("codes"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(phonetic.double_metaphone_codes("p_name"), "|").alias("codes"))
 
 
 @query("SELECT a.n_nationkey AS i, b.n_nationkey AS j, round(jaro_winkler_similarity(a.n_name, b.n_name), 9) AS jw, round(1 - levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(length(a.n_name), length(b.n_name)), 9) AS lev, round(1 - damerau_levenshtein(a.n_name, b.n_name)::DOUBLE / greatest(length(a.n_name), length(b.n_name)), 9) AS dl FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

@@ -5,9 +5,28 @@ import random
 import pytest
 
 from healthloom import catalog
+from healthloom.functions import phonetic
 from healthloom.functions import similarity as sim
 
 
+@pytest.fixture(scope="module")
+def whole(spark, sf_dir):
+    """Compares a query with SQL over whole tables."""
+    import duckdb
+
+    duck = duckdb.connect()
+    for t in ("documents", "part", "customer"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+
+    def same(name, sql):
+        df = catalog.queries()[name](spark, sf_dir)
+        got = sorted(map(tuple, df.collect()))
+        assert got == sorted(duck.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall())
+        return got
+
+    return same
+
+
 def jaro_winkler(a, b):
     """By the definition, one character after the other."""
     if not a or not b:
@@ -50,3 +69,16 @@ def test_link_fuzzy_jw_compares_whole_texts(spark, tmp_path):
     same = [(x, y) for x in rows for y in rows if x[0] < y[0] and x[2:4] == y[2:4] and x[1] is not None and y[1] is not None]
     assert got == {(x[0], y[0]) for x, y in same if jaro_winkler(x[1], y[1]) >= 0.8}
     assert (0, 1) not in got and {(2, 3), (4, 5), (6, 7), (8, 9)} <= got
+
+
+def test_std_name_covers_whole_texts(whole):
+    got = whole("std_name", "SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N} ]', '', 'g'), '\\p{N}', '', 'g'), ' ')) AS name FROM documents")
+    assert max(len(name) for _, name in got if name) > 80
+
+
+def test_double_metaphone_encodes_whole_names(spark, tmp_path):
+    names = ["Van der Berg", "ab", "x y", "spring green yellow purple", None]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = dict(map(tuple, catalog.double_metaphone(spark, str(tmp_path)).collect()))
+    assert got == {i: None if n is None else "|".join(phonetic.double_metaphone(n)) for i, n in enumerate(names)}
+    assert got[0] != "|".join(phonetic.double_metaphone("Van"))
