@@ -182,8 +182,8 @@ def link_best_person(spark, sf_dir):
 
 
 def _index(spark, sf_dir) -> dict[str, DataFrame]:
-    """Customers of odd keys as an index of patients, one person each."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 1").withColumn("id", F.col("c_custkey").cast("string"))
+    """Customers as an index of patients, one person each."""
+    c = table(spark, sf_dir, "customer").withColumn("id", F.col("c_custkey").cast("string"))
     n = lambda kind: F.lit(None).cast(kind)
     index = mpi.empty(spark)
     index["person"] = c.select(F.concat(F.lit("p"), "id").alias("person_id"))
@@ -203,7 +203,7 @@ g AS (SELECT patient_id, person_id, count(*) FILTER (hit) / count(*)::DOUBLE AS
 m AS (SELECT patient_id, min(person_id) AS person_id FROM g WHERE ratio >= 0.9 GROUP BY patient_id)
 SELECT c.c_custkey::VARCHAR AS patient_id, m.person_id IS NOT NULL AS matched, coalesce(m.person_id, 'new-' || sha256(c.c_custkey::VARCHAR)) AS person_id FROM customer c LEFT JOIN m ON m.patient_id = c.c_custkey::VARCHAR WHERE c.c_custkey % 2 = 0""")
 def link_incremental(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    c = table(spark, sf_dir, "customer")
     none = F.lit(None).cast("string")
     records = c.select(F.col("c_custkey").cast("string").alias("patient_id"), none.alias("first_name"), F.col("c_name").alias("last_name"), none.alias("birthdate"), F.col("c_mktsegment").alias("sex"), F.right("c_name", F.lit(3)).alias("mrn"), F.array("c_mktsegment").alias("address"), F.array(F.col("c_nationkey").cast("string")).alias("city"), F.array(none).alias("state"), F.array(none).alias("zip"))
     p = Pass({"last_name": FUZZY, "city": EXACT}, (BlockKey("mrn", "last4"), BlockKey("address", "first4")), "eval_perfect_match", 0.9, threshold=0.9)
@@ -381,7 +381,7 @@ def crosswalk_union(spark, sf_dir):
 l AS (SELECT DISTINCT p_type AS condition_id, replace(p_brand, '#', '') AS code FROM part WHERE p_size < 5) SELECT DISTINCT p_partkey, condition_id FROM f JOIN l USING (code)""")
 def stamp_codes(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    listed = parts.where("p_size < 5").select(F.col("p_type").alias("condition_id"), F.regexp_replace("p_brand", "#", "").alias("code"))
+    listed = parts.select(F.col("p_type").alias("condition_id"), F.regexp_replace("p_brand", "#", "").alias("code"))
     return valuesets.stamps(parts.select("p_partkey", F.col("p_brand").alias("code")), listed, ["p_partkey"])
 
 
