@@ -47,8 +47,8 @@ def is_native(name: str, p: Pass) -> bool:
     return name in ("feature_match_exact", "feature_match_four_char", "feature_match_log_odds_exact") or p.similarity_measure == "Levenshtein"
 
 
-def feature(name: str, field: str, a: Column, b: Column, p: Pass) -> Column:
-    """A feature of two values: boolean, or a weight for log-odds features."""
+def feature(name: str, field: str, a: Column, b: Column, p: Pass, score: Column | None = None) -> Column:
+    """A feature of two values: boolean, or a weight for log-odds features. score: their similarity, if it is known."""
     weight = F.lit(float(p.log_odds.get(field, 0.0)))
     if name == "feature_match_exact":
         return a.eqNullSafe(b)
@@ -56,7 +56,7 @@ def feature(name: str, field: str, a: Column, b: Column, p: Pass) -> Column:
         return F.left(a, F.lit(4)).eqNullSafe(F.left(b, F.lit(4)))
     if name == "feature_match_log_odds_exact":
         return F.when(a.eqNullSafe(b), weight).otherwise(F.lit(0.0))
-    score = F.coalesce(sim.compare_strings(a, b, p.similarity_measure), F.lit(0.0))
+    score = F.coalesce(sim.compare_strings(a, b, p.similarity_measure) if score is None else score, F.lit(0.0))
     if name == "feature_match_fuzzy_string":
         return F.when((a == "") & (b == ""), True).when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(score >= p.threshold)
     return F.when(score >= p.threshold, score * weight).otherwise(F.lit(0.0))

@@ -7,6 +7,8 @@ import pytest
 from healthloom import catalog
 from healthloom.functions import phonetic
 from healthloom.functions import similarity as sim
+from healthloom.operators import mpi
+from healthloom.plans.linkage import BlockKey, Pass
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +117,23 @@ def test_codes_of_all_parts_are_listed(whole):
     sql = """WITH f AS (SELECT p_partkey, unnest(list_distinct([p_brand, regexp_replace(p_brand, '[^\\p{L}\\p{N}]', '', 'g')])) AS code FROM part),
     l AS (SELECT DISTINCT p_type AS condition_id, replace(p_brand, '#', '') AS code FROM part) SELECT DISTINCT p_partkey, condition_id FROM f JOIN l USING (code)"""
     assert whole("stamp_codes", sql)
+
+
+@pytest.mark.parametrize("f", ["address", "city", "state", "zip"])
+@pytest.mark.parametrize("name", ["feature_match_fuzzy_string", "feature_match_exact", "feature_match_log_odds_fuzzy_compare", "feature_match_log_odds_exact"])
+def test_all_addresses_are_compared(spark, f, name):
+    old = {"address": ["12 Main St"], "city": ["Anywhere"], "state": ["CA"], "zip": ["90909"]}
+    others = ["1 Elm", "zzzz", None, "qqqq"]
+    rows = [("fifth", *[[*others, *old[a]] for a in old]), ("none", *[others] * 4), ("empty", *[[]] * 4), ("null", *[None] * 4)]
+    records = spark.createDataFrame([(n, "John", "Shepard", None, None, "M-1", *a) for n, *a in rows], mpi.RECORD)
+    flat = spark.createDataFrame([("old", "p", "1980-01-01", "male", "M-1", "Shepard", "John", *[old[a][0] for a in old])], "patient_id string, person_id string, birthdate string, sex string, mrn string, last_name string, first_name string, address string, city string, state string, zip string")
+    rule = {"matching_rule": "eval_log_odds_cutoff", "true_match_threshold": 5.0, "log_odds": {f: 6.0}} if "odds" in name else {"matching_rule": "eval_perfect_match"}
+    p = Pass({f: name}, (BlockKey("mrn"),), cluster_ratio=0.9, **rule)
+    assert {r["patient_id"] for r in mpi.best_persons(records, flat, [p]).collect()} == {"fifth"}
+
+
+def test_a_later_address_can_be_the_best(spark):
+    records = spark.createDataFrame([("n", "John", "Shepard", None, None, "M-1", ["12 Main Road", "x", "y", "z", "12 Main St"], ["A"], ["CA"], ["1"])], mpi.RECORD)
+    flat = spark.createDataFrame([("p", "old", "M-1", "12 Main St")], "person_id string, patient_id string, mrn string, address string")
+    p = Pass({"address": "feature_match_log_odds_fuzzy_compare"}, (BlockKey("mrn"),), "eval_log_odds_cutoff", 0.9, true_match_threshold=5.99, log_odds={"address": 6.0})
+    assert [mpi.best_persons(records, flat, [p], best_address=b).count() for b in (True, False)] == [1, 0]
