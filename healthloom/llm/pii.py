@@ -46,7 +46,7 @@ _TITLE = "(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=
 #: Types with their patterns, in order: where several match at a place the first wins.
 TYPES = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?:(?:sk|pk|rk)[-_](?:live[-_]|test[-_]|proj[-_])?[A-Za-z0-9]{16,128}|gh[pousr]_[A-Za-z0-9]{20,255}|AKIA[A-Z0-9]{16}|xox[abpr]-[A-Za-z0-9-]{10,200}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?:sk|pk|rk)[-_](?:live[-_]|test[-_]|proj[-_])?[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16}|xox[abpr]-[A-Za-z0-9-]{10,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -56,7 +56,7 @@ TYPES = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: One of these is in every entity: texts without any aren't matched.
-_GATE = r"[0-9@]|[0-9a-fA-F]{32}|" + _TITLE
+_GATE = r"[0-9@]|[0-9a-fA-F]{32}|(?<![A-Za-z0-9])(?:[spr]k[-_]|gh[pousr]_|AKIA|xox[abpr]-)|" + _TITLE
 
 
 def type_of(entity: Column) -> Column:
