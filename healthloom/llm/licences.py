@@ -39,7 +39,8 @@ FAMILIES = (
     ("mit", "permission is hereby granted free of charge", ("permission is hereby granted free of charge to any person obtaining a copy of this software",), (), ()),
     ("bsd", "bsd", ("bsd zero clause license", "bsd 0 clause license", "bsd 1 clause license", "bsd 2 clause license", "bsd 3 clause license", "bsd 4 clause license", "simplified bsd license", "new bsd license", "modified bsd license", "original bsd license", "bsd license", "bsd 2 clause", "bsd 3 clause"), (), ()),
     ("bsd", "redistribution and use in source", ("redistribution and use in source and binary forms with or without modification are permitted",), (), ()),
-    ("isc", "isc", ("isc license", "internet systems consortium license"), (), ()),
+    ("isc", "isc", ("isc license",), (), ()),
+    ("isc", "systems consortium", ("internet systems consortium license",), (), ()),
     ("mpl", "mozilla", ("mozilla public license", "mozilla public licence"), ("1 0", "1 1", "2", "2 0"), ("no-copyleft-exception",)),
     ("mpl", "mpl", ("mpl",), ("1 0", "1 1", "2", "2 0"), ()),
     ("epl", "eclipse", ("eclipse public license", "eclipse distribution license"), ("1 0", "2", "2 0"), ()),

@@ -374,6 +374,16 @@ def test_licences(spark, none):
 
 
 # 10
+def test_every_licence_name_is_found(spark):
+    """By itself, without any other name's words around."""
+    names = [(label, keyword, name) for label, keyword, names, _, _ in licences.FAMILIES for name in names]
+    assert not [n for _, keyword, n in names if keyword not in n]
+    rows = [(i, f"Under {name.upper()}, so.") for i, (_, _, name) in enumerate(names)]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _, name) in enumerate(names):
+        assert licences.name_label(label, name) in got[i]["labels"].split(",") and got[i]["score"] > 0, name
+
+
 def test_matrices(spark, docs, rows, none, tmp_path):
     from healthloom.llm.tokens import encoder
 
