@@ -6,7 +6,7 @@ one and grows by the one that raises the likelihood most, as long as that is wor
 the shares, a language whose derivative at share 0 isn't positive can't raise it and is left out without a fit.
 
 The model is fitted on a bounded sample of labelled rows (``sample`` documents a language on average, chosen by hash of the
-id); predictions cover every whole text, in one pass without a shuffle.
+id), but of every label value; predictions cover every whole text, in one pass without a shuffle.
 
 Defined results: und with score 0 for null texts, texts without a letter, and everything if nothing was learned; rows of one
 id are predicted each by itself; an empty table gives none.
@@ -14,6 +14,8 @@ id are predicted each by itself; an empty table gives none.
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from .common import written
 BUCKETS = 1 << 15
 #: Labelled documents a language that the model is fitted on, on average; a language with fewer uses all.
 SAMPLE = 20_000
-#: Most languages learned, the most frequent first: bounds the model to MOST_LANGUAGES * BUCKETS numbers.
-MOST_LANGUAGES = 256
+#: Languages whose numbers are held dense at once; a model of more keeps sparse counts and goes through them in blocks.
+BLOCK = 256
 SMOOTHING, ROUNDS = 0.5, 25
 #: Cost of one more language, in units of log(number of trigrams); trigrams overlap, so more than the usual half.
 PENALTY = 3.0
@@ -64,30 +66,34 @@ def trigrams(text: str | None) -> np.ndarray | None:
     return (h >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def shares(found: np.ndarray, logs: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Shares of the languages (rows of probs) in a document of these trigrams."""
+def shares(found: np.ndarray, model: Model) -> np.ndarray:
+    """Shares of the model's languages in a document of these trigrams."""
     counts = np.bincount(found, minlength=BUCKETS)
     used = np.flatnonzero(counts)
     c = counts[used].astype(np.float64)
-    total = c.sum()
-    p = probs[:, used].astype(np.float64)
-    single = logs[:, used] @ c
+    total, n = c.sum(), len(model.langs)
+    at = [(lo, min(n, lo + BLOCK)) for lo in range(0, n, BLOCK)]
+    only = model.rows(0, n, used) if len(at) == 1 else None
+    rows = lambda lo, hi: only[lo:hi] if only is not None else model.rows(lo, hi, used)
+    some = lambda js: np.concatenate([rows(j, j + 1) for j in js])
+    single = np.concatenate([np.log(rows(lo, hi)) @ c if model.logs is None else model.logs[lo:hi, used] @ c for lo, hi in at])
     chosen = [int(np.argmax(single))]
     best, share = float(single[chosen[0]]), np.ones(1)
-    while len(chosen) < len(probs):
-        ratio = c / (share @ p[chosen])
-        slope = p @ ratio - total
+    while len(chosen) < n:
+        p = some(chosen)
+        ratio = c / (share @ p)
+        slope = np.concatenate([rows(lo, hi) @ ratio for lo, hi in at]) - total
         rest = [j for j in np.flatnonzero(slope > 0) if j not in chosen]
         trial = None
         for j in rest:
-            fitted, value = _fit(p[[*chosen, j]], c, np.append(share * 0.9, 0.1))
+            fitted, value = _fit(np.concatenate([p, rows(j, j + 1)]), c, np.append(share * 0.9, 0.1))
             if trial is None or value > trial[0]:
                 trial = (value, j, fitted)
         if trial is None or trial[0] - best <= PENALTY * np.log(total + 1):
             break
         best, share = trial[0], trial[2]
         chosen.append(int(trial[1]))
-    out = np.zeros(len(probs))
+    out = np.zeros(n)
     out[chosen] = share
     return out
 
@@ -111,49 +117,83 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Model:
-    """langs, and the probability of each bucket in each of them."""
+    """langs, and the probability of each bucket in each of them: dense for up to BLOCK languages, else made from sparse counts."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
+    def __init__(self, langs: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        """lang (its place in langs), bucket and n: how often a bucket was seen in a language, once for each pair."""
         self.langs = langs
-        smooth = counts.astype(np.float64) + SMOOTHING
-        self.probs = (smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32) if langs else smooth
-        self.logs = np.log(self.probs.astype(np.float64)) if langs else smooth
+        order = np.lexsort((bucket, lang))
+        self.bucket, self.n = bucket[order].astype(np.int32), n[order].astype(np.float64)
+        self.starts = np.searchsorted(lang[order], np.arange(len(langs) + 1))
+        self.totals = np.bincount(lang, weights=n, minlength=len(langs)) + SMOOTHING * BUCKETS
+        self.probs = self.logs = None
+        if len(langs) <= BLOCK:
+            self.probs = self._made(0, len(langs), np.arange(BUCKETS))
+            self.logs = np.log(self.probs.astype(np.float64))
+            self.bucket = self.n = None
+
+    def _made(self, lo: int, hi: int, used: np.ndarray) -> np.ndarray:
+        place = np.full(BUCKETS, -1, np.int64)
+        place[used] = np.arange(len(used))
+        a, b = self.starts[lo], self.starts[hi]
+        at, row = place[self.bucket[a:b]], np.repeat(np.arange(hi - lo), np.diff(self.starts[lo : hi + 1]))
+        smooth = np.full((hi - lo, len(used)), SMOOTHING)
+        smooth[row[at >= 0], at[at >= 0]] += self.n[a:b][at >= 0]
+        return (smooth / self.totals[lo:hi, None]).astype(np.float32)
+
+    def rows(self, lo: int, hi: int, used: np.ndarray) -> np.ndarray:
+        """Probabilities of the used buckets in languages lo to hi."""
+        return (self._made(lo, hi, used) if self.probs is None else self.probs[lo:hi, used]).astype(np.float64)
 
 
 def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Fits on about ``sample`` rows a language of labelled (null languages are left out)."""
     labelled = labelled.where(F.col(lang).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in sizes)
+    counted = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    sizes = sorted((r["lang"], r["n"]) for r in counted.collect())
+    langs = [x for x, _ in sizes]
     if not langs:
-        return Model([], np.zeros((0, BUCKETS)))
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["n"]))])
+        return Model([], *[np.zeros(0, np.int64)] * 3)
+    # Languages with no more rows than the sample use all of them; the rates of the others are few.
+    rates = [(x, sample / n) for x, n in sizes if n > sample]
     draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("train")), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), draw.alias("draw")).where(F.col("draw") < F.element_at(rate, F.col("lang"))).select("lang", "text")
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
+    if rates:
+        rate = F.from_json(F.lit(json.dumps(dict(rates))), "map<string,double>")
+        rows = rows.where(F.col("draw") < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(1.0)))
+    rows = rows.select("lang", "text")
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+
+        def given() -> Iterator[pd.DataFrame]:
+            for one, s in sums.items():
+                used = np.flatnonzero(s)
+                yield pd.DataFrame({"lang": one, "bucket": used.astype(np.int32), "n": s[used]})
+            sums.clear()
+
         for b in batches:
             for one, t in zip(b["lang"], b["text"], strict=True):
                 if (found := trigrams(t)) is not None:
                     if one not in sums:
+                        if len(sums) >= BLOCK:
+                            yield from given()
                         sums[one] = np.zeros(BUCKETS, np.int64)
                     sums[one] += np.bincount(found, minlength=BUCKETS)
-        for one, s in sums.items():
-            used = np.flatnonzero(s)
-            yield pd.DataFrame({"lang": one, "bucket": used.astype(np.int32), "n": s[used]})
+        yield from given()
 
-    counts = np.zeros((len(langs), BUCKETS))
     summed = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    parts = array("i"), array("i"), array("q")
     for r in written(summed, "trigrams").toLocalIterator():
-        counts[index[r["lang"]], r["bucket"]] = r["n"]
-    return Model(langs, counts)
+        for part, x in zip(parts, (index[r["lang"]], r["bucket"], r["n"]), strict=True):
+            part.append(x)
+    return Model(langs, *[np.array(part) for part in parts])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs' columns keep, lang_pred, score (the share of lang_pred) and mixture (shares of all languages found)."""
-    probs, logs, langs = model.probs, model.logs, model.langs
+    langs = model.langs
     # As text, so that pandas doesn't turn whole numbers with nulls among them into floats.
     narrow = docs.select(*[F.col(c).cast("string").alias(c) for c in keep], F.col(text).alias("__text"))
     kept = ", ".join(f"`{c}` string" for c in keep)
@@ -168,7 +208,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                     score.append(0.0)
                     mixture.append({})
                     continue
-                s = shares(found, logs, probs)
+                s = shares(found, model)
                 k = int(np.argmax(s))
                 pred.append(langs[k])
                 score.append(float(min(1.0, s[k])))

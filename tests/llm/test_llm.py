@@ -115,6 +115,28 @@ def test_language_edges(spark, sf_dir):
 
 
 # 3
+def test_every_language_is_learned(spark, monkeypatch):
+    """More label values than a block holds; each one's texts are of its own letters."""
+    words = {f"l{i:03}": "".join(chr(0x4E00 + 20 * i + k) for k in range(20)) for i in range(300)}
+    rows = [(n * 300 + i, words[x] * 3, x) for i, x in enumerate(words) for n in range(3 if i < 256 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == sorted(words) and model.probs is None
+    got = langid.predict(docs, model, keep=("doc_id", "lang")).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == r["lang"] for r in got)
+    # Dense and in blocks, a model gives the same.
+    few = langid.train(docs.where("lang < 'l020'"))
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    sparse = langid.train(docs.where("lang < 'l020'"))
+    assert few.probs is not None and sparse.probs is None
+    for a, b in (("l003", "l015"), ("l001", "l002")):
+        found = langid.trigrams(words[a] * 9 + " " + words[b] * 6)
+        monkeypatch.setattr(langid, "BLOCK", 256)
+        dense = langid.shares(found, few)
+        monkeypatch.setattr(langid, "BLOCK", 7)
+        assert np.allclose(dense, langid.shares(found, sparse)) and (dense > 0).sum() == 2
+
+
 def test_mixing_counts(spark, docs, none):
     many = spark.range(4000).select("id", F.concat(F.lit("s"), F.pmod("id", F.lit(4)).cast("string")).alias("source"), F.lit("x").alias("copy")).withColumnRenamed("id", "doc_id")
     weights = spark.createDataFrame([("s:s0", 6.0), ("s:s1", 3.0), ("s:s2", 1.0)], "source_key string, weight double")
