@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Tables that ``written`` made in this process and ``drop_written`` has not deleted yet.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='healthloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,12 +35,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     try:
         spark.conf.set(CLEANUP, "true")
+        _made.append(path)
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the intermediate tables made so far. For a caller that has written its results: they read these tables."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def bounded(small: DataFrame, most: int = 50_000) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most ``most`` of them; beyond, it is joined by a shuffle."""
+    return F.broadcast(small) if small.count() <= most else small.hint("merge")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns whose names an operator is about to add (any case)."""
     taken = {n.lower() for n in names}

@@ -310,15 +310,16 @@ def test_components(spark):
 
 
 # 7
-@pytest.mark.parametrize(("n", "bucket"), [(3000, 100), (60, 1000)])
-def test_search_recall(spark, n, bucket):
+@pytest.mark.parametrize(("n", "part"), [(3000, 100), (3000, 16384), (60, 16384)])
+def test_search_recall(spark, monkeypatch, n, part):
+    monkeypatch.setattr(ann, "ASKED", 40)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
     x = (centres[rng.integers(0, 12, n)] + 0.4 * rng.normal(size=(n, 16))) * rng.uniform(0.5, 2, (n, 1))
     x[n // 2 :][: n // 10] = x[0]
-    bad = [(n, None), (n + 1, [0.0] * 16), (n + 2, [None] * 16), (n + 3, [float("nan")] * 16), (n + 4, [float("inf")] * 16), (n + 5, [1.0]), (None, [1.0] * 16)]
+    bad = [(n, None), (n + 1, [0.0] * 16), (n + 2, [None] * 16), (n + 3, [float("nan")] * 16), (n + 4, [float("inf")] * 16), (None, [1.0] * 16), (n + 5, [])]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + bad
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), bucket=bucket).toPandas()
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("best", F.lit(1)).withColumn("KEY", F.lit("x")), part=part).toPandas()
     hits, total = 0, 0
     for q in range(0, n, 20):
         s = (x * x[q]).sum(axis=1)
@@ -327,7 +328,45 @@ def test_search_recall(spark, n, bucket):
         assert mine["rank"].tolist() == list(range(1, 21))
         assert np.allclose(mine["score"], s[mine["vec_id"]]) and (np.diff(mine["score"]) <= 1e-12).all()
         hits, total = hits + len(set(order) & set(mine["vec_id"])), total + 20
-    assert hits / total >= (0.9 if n > 1000 else 1.0)
+    assert hits / total >= 0.9
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_search_recall_of_embeddings(spark, monkeypatch, scale):
+    """At least 0.9 of the true neighbours, by hashing: rows beyond the buckets visited are not seen."""
+    fitted, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    table = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet")
+    got = ann.search(table).toPandas().groupby("query_id")["vec_id"].agg(set)
+    rows = table.toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.array(rows["embedding"].to_list(), np.float64)
+    planes, shifts, probes = fitted[0]
+    assert planes.shape[0] == ann.TABLES and planes.shape[1] >= ann.LEAST_BITS
+    hits, seen, asked = 0, 0, np.flatnonzero(ids % 20 == 0)
+    own = [ann.own_keys(ann.as_rows(x, ann.norms(x).max()), planes, shifts, t) for t in range(ann.TABLES)]
+    for i in asked:
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(ids[np.argsort(-s)[:20]]) & got[ids[i]])
+        visited = np.any([np.isin(o, ann.probe_keys(ann.as_queries(x[i][None, :]), planes, shifts, t, probes)[0]) for t, o in enumerate(own)], axis=0)
+        seen += visited.sum()
+        assert got[ids[i]] <= set(ids[visited]) or visited.sum() < 21
+    assert hits / (20 * len(asked)) >= 0.9 and seen / (len(x) * len(asked)) < 0.95
+
+
+def test_search_fills_shorter_vectors_and_keeps_tiny_ones(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, [1e-200, 0.0]), (3, [0.0, -1.0]), (0, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.search(rows).orderBy("rank").collect()] == [(0, 1, 1, 3.0), (0, 2, 2, 1e-200), (0, 3, 3, -2.0)]
+
+
+def test_probe_order_is_by_expected_distance():
+    for bits in (1, 2, 5):
+        sets = ann.probe_sets(bits, 3**bits + 5)
+        assert len(sets) == 3**bits and len({tuple(r) for r in sets.tolist()}) == 3**bits and not sets[0].any()
+        j = np.arange(1, bits + 1)
+        near = j * (j + 1) / (4 * (bits + 1) * (bits + 2))
+        cost = sets @ np.concatenate([near, 1 - j[::-1] / (bits + 1) + near[::-1]])
+        assert (np.diff(cost) > -1e-6).all()
 
 
 def test_search_small_and_empty(spark):
