@@ -142,8 +142,9 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str, every: int) -> Data
     smallest = lambda c: F.slice(F.sort_array(F.array_distinct(c)), 1, TOP + 1)
     part = rows.groupBy("vector", F.pmod(F.xxhash64("id"), F.lit(256)).alias("part")).agg(smallest(F.collect_list("id")).alias("ids"), F.max(F.pmod("id", F.lit(every)) == 0).alias("queries"))
     whole = part.groupBy("vector").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("queries").alias("queries"))
-    top = F.array_max(F.transform("vector", lambda x: F.abs(x).cast("double")))
-    norm = top * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / top, F.lit(2.0))))
+    top = F.greatest(F.array_max("vector"), -F.array_min("vector")).cast("double")
+    # The largest part is bound once, not computed again for every part.
+    norm = F.transform(F.array(top), lambda m: m * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / m) * (x / m))))[0]
     return whole.select("vector", F.element_at("ids", 1).alias("class_id"), "ids", "queries", F.size("vector").alias("dim"), norm.alias("norm"))
 
 
