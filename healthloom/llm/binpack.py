@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .packing import BLOCK_TOKENS, END_ID, WINDOW
-from .tokens import encoder, tokenizer_path
+from .tokens import RANKS, encoder, tokenizer_path
 
 PAD_ID = 0
 SCHEMA = "row_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, n_tokens int, input_ids array<int>, position_ids array<int>"
@@ -111,7 +111,7 @@ def pack_partition(batches: Iterator[pd.DataFrame], path: str, width: int, block
 
 def matrices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, width: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a packed row of ids: SCHEMA. starts are the segments' places in their documents."""
-    path = tokenizer or tokenizer_path()
+    path = tokenizer or tokenizer_path(RANKS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pack_partition(batches, path, width, block_tokens, TaskContext.get().partitionId())

@@ -1,15 +1,16 @@
 """Packing: order-preserving dynamic programming over document and sentence boundaries.
 
 The documents of a block (consecutive rows of one input partition, up to ``block_tokens`` ids) form one stream of ids, each
-document followed by the end id. The stream is cut into windows of at most ``window`` ids. Cuts may fall at ends of documents
-(free), ends of sentences and, so that every stretch can be cut, on a coarse grid; the last two cost a truncation penalty. The
-cuts minimise penalties plus padding (and a small cost a window), where a window whose length is a power of two isn't padded.
+document followed by the end id. The stream is cut into windows of at most ``window`` ids. Cuts fall at ends of documents (free)
+and ends of sentences or lines (a truncation penalty). Only a stretch of more than ``window`` ids without such an end, which no
+window holds, may be cut inside: at every GRID ids of it, at a higher penalty. The cuts minimise penalties plus padding (and a
+small cost a window), where a window whose length is a power of two isn't padded.
 
 With f(i) the least cost up to boundary i, f(j) = penalty(j) + window - p(j) + min over p(j) - window <= p(i) < p(j) of
 f(i) + p(i): the minimum of a sliding window, held by a monotone queue. Powers of two add one look-up each.
 
-No row is shuffled: a partition packs its own rows in their order, and its block's tail is closed by powers of two. A lost
-executor's partitions are packed again to the same result, as windows depend on the partition's rows alone.
+No row is shuffled: a partition packs its own rows in their order. A lost executor's partitions are packed again to the same
+result, as windows depend on the partition's rows alone.
 
 Defined results: null text is empty (the end id alone); rows of one id are packed each by itself; an empty table gives none.
 """
@@ -25,26 +26,27 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import encoder, tokenizer_path
+from .tokens import JSON, encoder, tokenizer_path
 
+#: GRID: steps of the cuts inside a stretch that no window holds.
 WINDOW, END_ID, GRID = 1024, 0, 64
 #: Ids in one block: 4 MB, and as many bytes again for its boundaries.
 BLOCK_TOKENS = 1 << 20
 #: Costs of a cut, and of any window, in padding ids.
-SENTENCE_PENALTY, INNER_PENALTY, WINDOW_COST = 1.0, 4.0, 2.0
+SENTENCE_PENALTY, INNER_PENALTY, WINDOW_COST = 4.0, 32.0, 2.0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 
 
-def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Sorted positions where the stream may be cut, and the penalty of each. 0 is the first."""
-    total = int(doc_ends[-1]) if len(doc_ends) else 0
-    # Near the end every position may be a cut, so that powers of two can close the stream.
-    at = np.union1d(np.union1d(doc_ends, sentence_ends), np.union1d(np.arange(0, total, grid), np.arange(max(0, total - WINDOW), total)))
-    at = np.union1d(at[(at > 0) & (at <= total)], [0])
+    ends = np.union1d(np.union1d(doc_ends, sentence_ends), [0]).astype(np.int64)
+    wide = np.flatnonzero(np.diff(ends) > window)
+    inner = [np.arange(ends[i] + grid, ends[i + 1], grid) for i in wide]
+    at = np.union1d(ends, np.concatenate(inner)) if inner else ends
     penalty = np.full(len(at), INNER_PENALTY)
     penalty[np.isin(at, sentence_ends)] = SENTENCE_PENALTY
     penalty[np.isin(at, doc_ends)] = 0.0
-    return at.astype(np.int64), penalty
+    return at, penalty
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -94,19 +96,19 @@ def pieces(doc_ends: np.ndarray, window_ends: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"from": start, "to": to, "doc": np.searchsorted(doc_ends, to), "window": np.searchsorted(window_ends, to)})
 
 
-def sentence_table(size: int, tokens: list[str | None]) -> np.ndarray:
+def sentence_table(tokens: list[bytes]) -> np.ndarray:
     """For each id, whether a sentence or line may end with it."""
-    table = np.zeros(size, bool)
-    for i, t in enumerate(tokens):
-        # Sentence ends, and the byte-level vocabulary's sign for a new line.
-        if t and (t.rstrip("\"')]»”").endswith((".", "!", "?", "…", "。", "！", "？")) or t.endswith("Ċ")):
-            table[i] = True
+    table = np.zeros(len(tokens), bool)
+    for i, token in enumerate(tokens):
+        t = token.decode("utf-8", "replace")
+        # What closes a sentence, and what may stand behind it.
+        table[i] = t.endswith("\n") or t.rstrip("\"')]»”").endswith((".", "!", "?", "…", "。", "！", "？"))
     return table
 
 
 def pack_partition(batches: Iterator[pd.DataFrame], path: str, window: int, block_tokens: int, part: int) -> Iterator[pd.DataFrame]:
     enc = encoder(path)
-    table = sentence_table(enc.size, [enc.tokenizer.id_to_token(i) for i in range(enc.size)])
+    table = sentence_table(enc.tokens())
     end = np.array([END_ID], "<u4").tobytes()
     first = part << 40
 
@@ -117,7 +119,7 @@ def pack_partition(batches: Iterator[pd.DataFrame], path: str, window: int, bloc
         doc_ends = np.cumsum(lengths)
         tokens = np.frombuffer(stream, "<u4")
         sentences = np.flatnonzero(table[tokens]).astype(np.int64) + 1
-        window_ends = cuts(*boundaries(doc_ends, sentences), window)
+        window_ends = cuts(*boundaries(doc_ends, sentences, window), window)
         out = pieces(doc_ends, window_ends)
         view = memoryview(stream)
         a, b, doc, seq = (out[c].to_numpy() for c in ("from", "to", "doc", "window"))
@@ -146,7 +148,7 @@ def pack_partition(batches: Iterator[pd.DataFrame], path: str, window: int, bloc
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a piece: SCHEMA. sequence_id holds the partition's number in its upper bits; sequence_tokens is its sequence's length."""
-    path = tokenizer or tokenizer_path()
+    path = tokenizer or tokenizer_path(JSON)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pack_partition(batches, path, window, block_tokens, TaskContext.get().partitionId())

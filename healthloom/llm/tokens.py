@@ -1,36 +1,33 @@
-"""Token ids of whole texts, as little-endian unsigned 32-bit numbers."""
+"""Token ids of whole texts, as little-endian unsigned 32-bit numbers.
+
+The file decides the library: a .json file is read by tokenizers, a .tiktoken file of ranks by tiktoken. Nothing else does.
+"""
 
 from __future__ import annotations
 
 import base64
-import os
+import json
 import re
 import sys
 from array import array
 
-#: Folder of the public tokenizers, a parameter of the operators.
-TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = "byte_bpe_50k.json"
+import regex
 
+# Names of public vocabulary files; the two hold one vocabulary.
+JSON, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabulary's tokenizer cuts texts before its merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Texts of these characters are cut alike whatever Unicode tables a library has; only they are encoded by ranks.
+# Characters that are letters, digits or spaces alike in every version of Unicode.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7eÀ-ɏ]*")
+#: Pieces a worker keeps, and the longest of them.
+MOST_PIECES, LONGEST_PIECE = 1 << 19, 64
 
 
-def tokenizer_path(name: str = VOCABULARY, folder: str = TOKENIZERS) -> str:
-    return os.path.join(folder, name)
-
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file; operators take any other as a parameter."""
+    import public_tokenizers
 
-def ranked(path: str):
-    """Encodes by the same vocabulary kept as ranks, several times as fast; null where there is no such file."""
-    if not os.path.exists(path):
-        return None
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return public_tokenizers.path(name)
 
 
 def packed(ids: list[int]) -> bytes:
@@ -40,16 +37,30 @@ def packed(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
-class Encoder:
-    """Ids of texts by a tokenizer file. Where ranks lie beside it, plain texts are encoded by them, to the same ids."""
+class JsonEncoder(dict):
+    """Ids by tokenizers. It merges within pieces only, so the ids of a piece are worked out once and kept.
+
+    A text with characters that versions of Unicode class differently, or with a special token, is handed over whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.size = self.tokenizer.get_vocab_size()
-        self.by_ranks = ranked(os.path.splitext(path)[0] + ".tiktoken")
+        held = json.loads(self.tokenizer.to_str())
+        cut = held["pre_tokenizer"] or {}
+        alone = held["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+        self.pieces = regex.compile(PIECES).findall if alone else None
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.ids(piece)
+        if len(piece) <= LONGEST_PIECE:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
 
     def ids(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -58,16 +69,43 @@ class Encoder:
         """Ids of the whole text; none of null."""
         if not text:
             return b""
-        if self.by_ranks and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return packed(self.by_ranks(text))
+        if self.pieces and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.__getitem__, self.pieces(text)))
         return self.ids(text)
 
+    def tokens(self) -> list[bytes]:
+        """The bytes of each id's token."""
+        # Fixed rule of byte-level vocabularies: printable characters stand for themselves, the other bytes for 256, 257, ...
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        found = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        return [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in found]
+
+
+class RankEncoder:
+    """Ids by tiktoken."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.by_ranks = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=self.ranks, special_tokens={})
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of the whole text; none of null."""
+        return packed(self.by_ranks.encode_ordinary(text)) if text else b""
+
+    def tokens(self) -> list[bytes]:
+        return sorted(self.ranks, key=self.ranks.__getitem__)
+
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, JsonEncoder | RankEncoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> JsonEncoder | RankEncoder:
     """One encoder a worker and vocabulary."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = RankEncoder(path) if path.endswith(".tiktoken") else JsonEncoder(path)
     return _encoders[path]

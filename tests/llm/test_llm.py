@@ -209,15 +209,13 @@ def test_surrogates_stay_distinct(spark, monkeypatch, most):
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    got = packing.pack(docs, block_tokens=3000).toPandas()
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path(packing.JSON))
+    got = packing.pack(docs.withColumn("START", F.lit(1)).withColumn("__part", F.lit("x")), block_tokens=3000).toPandas()
     want = defaultdict(list)
     for r in rows:
         want[r[0]].append(np.array(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4"))
     sizes = got.groupby("sequence_id")["length"].sum()
     assert sizes.max() <= 1024
-    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in sizes)
-    assert padding / sizes.sum() < 0.02
     ordered = got.sort_values(["sequence_id", "offset"])
     assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
     for doc_id, ids in want.items():
@@ -228,12 +226,18 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_little_padding(spark):
+    """Sequences end with documents, sentences or lines, so some ids are padded: at most 2 in 100 of whole blocks of real prose."""
+    got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)).groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
+    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in got) < 0.02 * got.sum()
+
+
 def test_cuts_are_optimal():
     rng = random.Random(2)
     for _ in range(60):
-        window, n = 8, rng.randint(1, 14)
-        ends = np.cumsum([rng.randint(1, 5) for _ in range(n)])
-        at, pen = packing.boundaries(ends, ends[::2], grid=3)
+        window, n = 8, 2 * rng.randint(1, 7)
+        ends = np.cumsum([rng.choice([1, 2, 3, 4, 5, 12]) for _ in range(n)])
+        at, pen = packing.boundaries(ends[1::2], ends[::2], window, grid=3)
         got = packing.cuts(at, pen, window)
 
         def cost(ends_, at=at, pen=pen):
@@ -250,16 +254,37 @@ def test_cuts_are_optimal():
         assert cost(got.tolist()) == pytest.approx(best[at[-1]])
 
 
-def test_fast_encoding_is_the_tokenizers():
-    from healthloom.llm.tokens import encoder
+def test_cuts_fall_at_ends():
+    """A window ends inside a sentence only in a stretch that no window holds."""
+    rng = np.random.default_rng(6)
+    sizes = np.concatenate([rng.integers(3, 80, 900), [3000, 2000], rng.integers(3, 80, 300)])
+    ends = np.cumsum(sizes)
+    docs_end = np.union1d(ends[::25], ends[-1:])
+    at, pen = packing.boundaries(docs_end, ends)
+    found = packing.cuts(at, pen)
+    long = [(e - s, e) for s, e in zip(sizes, ends, strict=True) if s > 1024]
+    for c in found:
+        assert c in ends or any(e - s < c < e for s, e in long)
+    lengths = np.diff(found, prepend=0)
+    assert lengths.max() <= 1024 and found[-1] == ends[-1] and np.isin(found, docs_end).sum() > 3
+    assert sum(0 if n & (n - 1) == 0 else 1024 - n for n in lengths.tolist()) < 0.03 * ends[-1]
+
+
+def test_pieces_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    from healthloom.llm.tokens import JSON, RANKS, encoder, packed, tokenizer_path
 
-    enc, rng = encoder(packing.tokenizer_path()), random.Random(4)
-    signs = "abcXYZ éß  \n\t.,'!?0129_$%-ñ" + "’日 \x1c²½"
-    for _ in range(400):
-        t = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60)))
-        assert enc.encode(t) == enc.ids(t), repr(t)
-    for t in ("it's we'll I'd", "x <|endoftext|> y", "   a  b   ", "\n\n a"):
-        assert enc.encode(t) == enc.ids(t)
+    enc, ranks, rng = encoder(tokenizer_path(JSON)), encoder(tokenizer_path(RANKS)), random.Random(4)
+    whole = Tokenizer.from_file(tokenizer_path(JSON))
+    signs = "abcXYZ éß  \n\t.,'!?0129_$%-ñ" + "’日 \x1c²½"
+    for k in range(800):
+        t = "".join(rng.choice(signs if k % 2 else signs[:30]) for _ in range(rng.randint(0, 60)))
+        assert enc.encode(t) == packed(whole.encode(t, add_special_tokens=False).ids) == ranks.encode(t), repr(t)
+    t = "a <|endoftext|> b"
+    assert enc.encode(t) == packed(whole.encode(t, add_special_tokens=False).ids) and enc.encode(None) == b""
+    assert enc.tokens()[:50256] == ranks.tokens()
+    assert b"".join(enc.tokens()[i] for i in np.frombuffer(enc.encode("né\n né"), "<u4")).decode() == "né\n né"
 
 
 # 6
@@ -446,7 +471,7 @@ def test_every_licence_name_is_found(spark):
 
 
 def test_matrices(spark, docs, rows, none, tmp_path):
-    from healthloom.llm.tokens import encoder
+    from healthloom.llm.tokens import RANKS, encoder
 
     some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     made = binpack.matrices(some, block_tokens=20_000).cache()
@@ -454,7 +479,7 @@ def test_matrices(spark, docs, rows, none, tmp_path):
         assert len(r["input_ids"]) == len(r["position_ids"]) == 1024 and r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] <= 1024
         for a, b in zip(r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
             assert r["position_ids"][a:b] == list(range(b - a))
-    enc, texts = encoder(binpack.tokenizer_path()), {r[0]: r[1] for r in rows}
+    enc, texts = encoder(binpack.tokenizer_path(RANKS)), {r[0]: r[1] for r in rows}
     back = {r["doc_id"]: r["ids"] for r in binpack.documents(made).collect()}
     assert back == {r["doc_id"]: np.frombuffer(enc.encode(texts[r["doc_id"]]), "<u4").tolist() + [0] for r in some.select("doc_id").collect()}
     binpack.write_matrices(some, str(tmp_path / "m"))
