@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .packing import BLOCK_TOKENS, END_ID, WINDOW
-from .tokens import RANKS, encoder, tokenizer_path
+from .tokens import encoder, vocabulary
 
 PAD_ID = 0
 SCHEMA = "row_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, n_tokens int, input_ids array<int>, position_ids array<int>"
@@ -76,33 +77,49 @@ def best_fit_decreasing(lengths: list[int], width: int) -> list[list[int]]:
     return rows
 
 
-def pack_block(ids: list[int | None], texts: list[bytes], width: int, first: int) -> pd.DataFrame:
+def lists(rows: list[np.ndarray] | np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """One list a row, of one flat buffer."""
+    sizes = [len(r) for r in rows]
+    flat = rows.reshape(-1) if isinstance(rows, np.ndarray) else np.concatenate(rows)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
+
+
+def pack_block(ids: list[int | None], texts: list[bytes], width: int, first: int) -> pa.RecordBatch:
     parts = []  # (document, start, ids)
     for i, t in enumerate(texts):
         tokens = np.frombuffer(t, "<u4").astype(np.int32)
         parts += [(i, s, tokens[s : s + width]) for s in range(0, len(tokens), width)]
-    out = []
-    for r, row in enumerate(best_fit_decreasing([len(p[2]) for p in parts], width)):
-        lengths = [len(parts[k][2]) for k in row]
-        used = sum(lengths)
-        matrix, positions = np.full(width, PAD_ID, np.int32), np.zeros(width, np.int32)
-        matrix[:used] = np.concatenate([parts[k][2] for k in row])
-        positions[:used] = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
-        out.append((first + r, [ids[parts[k][0]] for k in row], [parts[k][1] for k in row], np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), used, matrix, positions))
-    return pd.DataFrame(out, columns=["row_id", "doc_ids", "starts", "cu_seqlens", "n_tokens", "input_ids", "position_ids"])
-
-
-def pack_partition(batches: Iterator[pd.DataFrame], path: str, width: int, block_tokens: int, part: int) -> Iterator[pd.DataFrame]:
-    enc, end, first = encoder(path), np.array([END_ID], "<u4").tobytes(), part << 40
+    packed = best_fit_decreasing([len(p[2]) for p in parts], width)
+    matrix, positions = np.full((len(packed), width), PAD_ID, np.int32), np.zeros((len(packed), width), np.int32)
+    count = np.arange(width, dtype=np.int32)
+    ends = []
+    for r, row in enumerate(packed):
+        at = 0
+        reached = [0]
+        for k in row:
+            n = len(parts[k][2])
+            matrix[r, at : at + n], positions[r, at : at + n] = parts[k][2], count[:n]
+            at += n
+            reached.append(at)
+        ends.append(np.array(reached, np.int32))
+    sizes = np.concatenate([[0], np.cumsum([len(row) for row in packed])])
+    nested = lambda values: pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int64()))
+    doc_ids, starts = nested([ids[parts[k][0]] for row in packed for k in row]), nested([parts[k][1] for row in packed for k in row])
+    columns = [pa.array(np.arange(first, first + len(packed)), pa.int64()), doc_ids, starts, lists(ends, pa.int32()), pa.array([int(e[-1]) for e in ends], pa.int32()), lists(matrix, pa.int32()), lists(positions, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["row_id", "doc_ids", "starts", "cu_seqlens", "n_tokens", "input_ids", "position_ids"])
+
+
+def pack_partition(batches: Iterator[pa.RecordBatch], files: tuple[str, str | None], width: int, block_tokens: int, part: int) -> Iterator[pa.RecordBatch]:
+    enc, end, first = encoder(*files), np.array([END_ID], "<u4").tobytes(), part << 40
     ids, texts, size = [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            encoded = enc.encode(text if isinstance(text, str) else None) + end
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            encoded = enc.encode(text) + end
             if size and size + len(encoded) // 4 > block_tokens:
                 yield (made := pack_block(ids, texts, width, first))
-                first += len(made)
+                first += made.num_rows
                 ids, texts, size = [], [], 0
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
+            ids.append(doc_id)
             texts.append(encoded)
             size += len(encoded) // 4
     if ids:
@@ -111,12 +128,12 @@ def pack_partition(batches: Iterator[pd.DataFrame], path: str, width: int, block
 
 def matrices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, width: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a packed row of ids: SCHEMA. starts are the segments' places in their documents."""
-    path = tokenizer or tokenizer_path(RANKS)
+    files = vocabulary(tokenizer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return pack_partition(batches, path, width, block_tokens, TaskContext.get().partitionId())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pack_partition(batches, files, width, block_tokens, TaskContext.get().partitionId())
 
-    return docs.selectExpr(f"cast(cast(`{doc_id}` as long) as string) as doc_id", f"`{text}` as text").mapInPandas(run, SCHEMA)
+    return docs.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, SCHEMA)
 
 
 def write_matrices(docs: DataFrame, path: str, **options) -> None:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import JSON, encoder, tokenizer_path
+from .tokens import encoder, vocabulary
 
 #: GRID: steps of the cuts inside a stretch that no window holds.
 WINDOW, END_ID, GRID = 1024, 0, 64
@@ -39,14 +39,14 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Sorted positions where the stream may be cut, and the penalty of each. 0 is the first."""
-    ends = np.union1d(np.union1d(doc_ends, sentence_ends), [0]).astype(np.int64)
-    wide = np.flatnonzero(np.diff(ends) > window)
-    inner = [np.arange(ends[i] + grid, ends[i + 1], grid) for i in wide]
-    at = np.union1d(ends, np.concatenate(inner)) if inner else ends
-    penalty = np.full(len(at), INNER_PENALTY)
-    penalty[np.isin(at, sentence_ends)] = SENTENCE_PENALTY
-    penalty[np.isin(at, doc_ends)] = 0.0
-    return at, penalty
+    cost = np.full(int(max(doc_ends[-1:].max(initial=0), sentence_ends[-1:].max(initial=0))) + 1, -1.0)
+    cost[sentence_ends] = SENTENCE_PENALTY
+    cost[doc_ends] = cost[0] = 0.0
+    ends = np.flatnonzero(cost >= 0)
+    for i in np.flatnonzero(np.diff(ends) > window):
+        cost[ends[i] + grid : ends[i + 1] : grid] = INNER_PENALTY
+    at = np.flatnonzero(cost >= 0)
+    return at, cost[at]
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -91,7 +91,8 @@ def cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> np.ndarra
 
 def pieces(doc_ends: np.ndarray, window_ends: np.ndarray) -> pd.DataFrame:
     """Where windows and documents cut the stream: from, to, index of document and window."""
-    to = np.union1d(doc_ends, window_ends)
+    to = np.sort(np.concatenate([doc_ends, window_ends]))
+    to = to[np.diff(to, prepend=0) > 0]
     start = np.concatenate([[0], to[:-1]]).astype(np.int64)
     return pd.DataFrame({"from": start, "to": to, "doc": np.searchsorted(doc_ends, to), "window": np.searchsorted(window_ends, to)})
 
@@ -106,8 +107,8 @@ def sentence_table(tokens: list[bytes]) -> np.ndarray:
     return table
 
 
-def pack_partition(batches: Iterator[pd.DataFrame], path: str, window: int, block_tokens: int, part: int) -> Iterator[pd.DataFrame]:
-    enc = encoder(path)
+def pack_partition(batches: Iterator[pd.DataFrame], files: tuple[str, str | None], window: int, block_tokens: int, part: int) -> Iterator[pd.DataFrame]:
+    enc = encoder(*files)
     table = sentence_table(enc.tokens())
     end = np.array([END_ID], "<u4").tobytes()
     first = part << 40
@@ -148,9 +149,9 @@ def pack_partition(batches: Iterator[pd.DataFrame], path: str, window: int, bloc
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a piece: SCHEMA. sequence_id holds the partition's number in its upper bits; sequence_tokens is its sequence's length."""
-    path = tokenizer or tokenizer_path(JSON)
+    files = vocabulary(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return pack_partition(batches, path, window, block_tokens, TaskContext.get().partitionId())
+        return pack_partition(batches, files, window, block_tokens, TaskContext.get().partitionId())
 
     return docs.selectExpr(f"cast(cast(`{doc_id}` as long) as string) as doc_id", f"`{text}` as text").mapInPandas(run, SCHEMA)

@@ -1,26 +1,22 @@
 """Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
-The file decides the library: a .json file is read by tokenizers, a .tiktoken file of ranks by tiktoken. Nothing else does.
+Ids are those of the tokenizers library with a .json vocabulary. Where a file of ranks of the same vocabulary is named as well,
+tiktoken encodes the texts that both cut alike, to the same ids in a fifth of the time.
 """
 
 from __future__ import annotations
 
 import base64
-import json
 import re
 import sys
 from array import array
 
-import regex
-
 # Names of public vocabulary files; the two hold one vocabulary.
 JSON, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabulary's tokenizer cuts texts before its merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Characters that are letters, digits or spaces alike in every version of Unicode.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7eÀ-ɏ]*")
-#: Pieces a worker keeps, and the longest of them.
-MOST_PIECES, LONGEST_PIECE = 1 << 19, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,30 +33,19 @@ def packed(ids: list[int]) -> bytes:
     return found.tobytes()
 
 
-class JsonEncoder(dict):
-    """Ids by tokenizers. It merges within pieces only, so the ids of a piece are worked out once and kept.
+class Encoder:
+    """Ids by the tokenizers file ``path``.
 
-    A text with characters that versions of Unicode class differently, or with a special token, is handed over whole.
+    With ``ranks``, a text of plain characters and without special tokens is encoded by tiktoken; any other text, whose pieces the
+    two libraries might cut by different versions of Unicode, is encoded by tokenizers.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        held = json.loads(self.tokenizer.to_str())
-        cut = held["pre_tokenizer"] or {}
-        alone = held["normalizer"] is None and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
-        self.pieces = regex.compile(PIECES).findall if alone else None
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.ids(piece)
-        if len(piece) <= LONGEST_PIECE:
-            if len(self) >= MOST_PIECES:
-                self.clear()
-            self[piece] = found
-        return found
+        self.by_ranks = ranked(ranks) if ranks else None
 
     def ids(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -69,8 +54,8 @@ class JsonEncoder(dict):
         """Ids of the whole text; none of null."""
         if not text:
             return b""
-        if self.pieces and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.__getitem__, self.pieces(text)))
+        if self.by_ranks and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return packed(self.by_ranks(text))
         return self.ids(text)
 
     def tokens(self) -> list[bytes]:
@@ -83,29 +68,25 @@ class JsonEncoder(dict):
         return [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in found]
 
 
-class RankEncoder:
-    """Ids by tiktoken."""
+def ranked(path: str):
+    """Encodes by a file of ranks."""
+    import tiktoken
 
-    def __init__(self, path: str):
-        import tiktoken
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.by_ranks = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=self.ranks, special_tokens={})
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of the whole text; none of null."""
-        return packed(self.by_ranks.encode_ordinary(text)) if text else b""
+_encoders: dict[tuple[str, str | None], Encoder] = {}
 
-    def tokens(self) -> list[bytes]:
-        return sorted(self.ranks, key=self.ranks.__getitem__)
 
-
-_encoders: dict[str, JsonEncoder | RankEncoder] = {}
+def encoder(path: str, ranks: str | None = None) -> Encoder:
+    """One encoder a worker and vocabulary."""
+    if (path, ranks) not in _encoders:
+        _encoders[path, ranks] = Encoder(path, ranks)
+    return _encoders[path, ranks]
 
 
-def encoder(path: str) -> JsonEncoder | RankEncoder:
-    """One encoder a worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = RankEncoder(path) if path.endswith(".tiktoken") else JsonEncoder(path)
-    return _encoders[path]
+def vocabulary(tokenizer: str | None) -> tuple[str, str | None]:
+    """The files of an operator's parameter: a .json file, which is used alone, or null for the public vocabulary with its ranks."""
+    return (tokenizer, None) if tokenizer else (tokenizer_path(JSON), tokenizer_path(RANKS))
