@@ -7,14 +7,15 @@ line items) are resources with references, regions and nations are conditions an
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fhirpath, hl7, phone, phonetic, similarity, text
 from .operators import linkage as link
-from .operators import mpi, patients, tabulation, valuesets, viewer
-from .plans.linkage import BlockKey, Pass
+from .operators import geocode, mpi, parsing, patients, searching, tabulation, valuesets, viewer, xml
+from .plans.linkage import BlockKey, Pass, deterministic
 from .plans.tables import ColumnSpec, Reference, TableSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,11 +52,6 @@ WEIGHTS = {"p_name": 6.0, "p_brand": 2.0, "p_size": 1.5}
 _PART_PAIRS = "FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
 
 
-def _document_pass(threshold: float, measure: str = "JaroWinkler") -> Pass:
-    """Records of documents: whole texts, blocked by language and source."""
-    return Pass({"text": FUZZY}, (BlockKey("lang"), BlockKey("source")), "eval_perfect_match", threshold=threshold, similarity_measure=measure)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_fuzzy_jw(spark, sf_dir)
 
@@ -71,12 +67,11 @@ def link_first4_pairs(spark, sf_dir):
     return link.match_pairs(table(spark, sf_dir, "part"), Pass({"p_name": FOUR}, PART_BLOCK, "eval_perfect_match"), "p_partkey")
 
 
-_HEADS = "WITH d AS (SELECT doc_id, lang, source, n_chars // 32 AS size_class, left(text, 64) AS head FROM documents) SELECT a.doc_id AS id_i, b.doc_id AS id_j FROM d a JOIN d b ON a.lang = b.lang AND a.source = b.source AND a.size_class = b.size_class AND a.doc_id < b.doc_id WHERE"
-
-
-@query(f"{_HEADS} jaro_winkler_similarity(a.head, b.head) >= 0.8")
+@query("""SELECT a.c_custkey AS id_i, b.c_custkey AS id_j FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey
+WHERE jaro_winkler_similarity(a.c_name, b.c_name) >= 0.98""")
 def link_fuzzy_jw(spark, sf_dir):
-    return link.match_pairs(table(spark, sf_dir, "documents"), _document_pass(0.8), "doc_id")
+    p = Pass({"c_name": FUZZY}, (BlockKey("c_nationkey"), BlockKey("c_mktsegment")), "eval_perfect_match", threshold=0.98)
+    return link.match_pairs(table(spark, sf_dir, "customer"), p, "c_custkey")
 
 
 @query(f"SELECT a.p_partkey AS id_i, b.p_partkey AS id_j {_PART_PAIRS} WHERE 1.0::DOUBLE - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) >= 0.55")
@@ -171,14 +166,15 @@ def link_affected(spark, sf_dir):
     return link.affected(link.missed(_truth(table(spark, sf_dir, "part")), _part_matches(spark, sf_dir)))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS patient_id, o_orderdate, l_suppkey AS person_id, l_quantity >= 25 AS hit FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+@query("""WITH s AS (SELECT l_orderkey::VARCHAR AS patient_id, l_suppkey::VARCHAR AS person_id, l_quantity >= 25 AS hit FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 r AS (SELECT patient_id, person_id, count(*) FILTER (hit) / count(*)::DOUBLE AS ratio FROM s GROUP BY ALL)
 SELECT patient_id, person_id, ratio FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ratio DESC, person_id) AS n FROM r WHERE ratio >= 0.5) WHERE n = 1""")
 def link_best_person(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", (F.col("l_quantity") >= 25).alias("hit"))
-    shares = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey").groupBy(F.col("o_orderkey").alias("patient_id"), F.col("l_suppkey").alias("person_id")).agg((F.count_if("hit") / F.count("*")).alias("ratio"))
-    best = shares.where("ratio >= 0.5").groupBy("patient_id").agg(F.min_by(F.struct("person_id", "ratio"), F.struct(-F.col("ratio"), "person_id")).alias("b"))
-    return best.select("patient_id", "b.person_id", "b.ratio")
+    """Orders are records, their line items the index rows of their block; those of 25 or more agree."""
+    none = F.lit(None).cast("string")
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("patient_id"), F.lit("many").alias("first_name"), F.col("o_orderkey").cast("string").alias("mrn"))
+    flat = table(spark, sf_dir, "lineitem").select(none.alias("patient_id"), F.col("l_suppkey").cast("string").alias("person_id"), F.col("l_orderkey").cast("string").alias("mrn"), F.when(F.col("l_quantity") >= 25, "many").otherwise("few").alias("first_name"))
+    return mpi.best_persons(records, flat, [Pass({"first_name": EXACT}, (BlockKey("mrn"),), "eval_perfect_match", 0.5)])
 
 
 def _index(spark, sf_dir) -> dict[str, DataFrame]:
@@ -195,13 +191,13 @@ def _index(spark, sf_dir) -> dict[str, DataFrame]:
     return index
 
 
-_CUSTOMER_BLOCK = "FROM customer a JOIN customer b ON a.c_custkey % 2 = 0 AND b.c_custkey % 2 = 1 AND right(a.c_name, 3) = right(b.c_name, 3) AND left(a.c_mktsegment, 4) = left(b.c_mktsegment, 4)"
+_CUSTOMER_BLOCK = "FROM customer a JOIN customer b ON right(a.c_name, 3) = right(b.c_name, 3) AND left(a.c_mktsegment, 4) = left(b.c_mktsegment, 4)"
 
 
 @query(f"""WITH r AS (SELECT a.c_custkey::VARCHAR AS patient_id, 'p' || b.c_custkey AS person_id, jaro_winkler_similarity(a.c_name, b.c_name) >= 0.9 AND a.c_nationkey = b.c_nationkey AS hit {_CUSTOMER_BLOCK}),
 g AS (SELECT patient_id, person_id, count(*) FILTER (hit) / count(*)::DOUBLE AS ratio FROM r GROUP BY ALL),
 m AS (SELECT patient_id, min(person_id) AS person_id FROM g WHERE ratio >= 0.9 GROUP BY patient_id)
-SELECT c.c_custkey::VARCHAR AS patient_id, m.person_id IS NOT NULL AS matched, coalesce(m.person_id, 'new-' || sha256(c.c_custkey::VARCHAR)) AS person_id FROM customer c LEFT JOIN m ON m.patient_id = c.c_custkey::VARCHAR WHERE c.c_custkey % 2 = 0""")
+SELECT c.c_custkey::VARCHAR AS patient_id, m.person_id IS NOT NULL AS matched, coalesce(m.person_id, 'new-' || sha256(c.c_custkey::VARCHAR)) AS person_id FROM customer c LEFT JOIN m ON m.patient_id = c.c_custkey::VARCHAR""")
 def link_incremental(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     none = F.lit(None).cast("string")
@@ -210,18 +206,18 @@ def link_incremental(spark, sf_dir):
     return mpi.link(records, _index(spark, sf_dir), [p]).select("patient_id", "matched", "person_id")
 
 
-@query("SELECT c_custkey::VARCHAR AS patient_id FROM customer WHERE c_custkey % 2 = 1 AND right(c_name, 3) = '001' AND left(c_mktsegment, 4) = 'BUIL'")
+@query("SELECT c_custkey::VARCHAR AS patient_id FROM customer WHERE left(c_name, 4) = 'Cust' AND left(c_mktsegment, 4) = 'BUIL'")
 def blocking_semi_join(spark, sf_dir):
-    return mpi.block_patients(_index(spark, sf_dir), {"mrn": ("001", None), "address": ("BUIL", "first4"), "unknown": ("x", None)})
+    return mpi.block_patients(_index(spark, sf_dir), {"last_name": ("Cust", "first4"), "address": ("BUIL", "first4"), "unknown": ("x", None)})
 
 
-@query("SELECT c_custkey::VARCHAR AS patient_id, 'p' || c_custkey AS person_id, right(c_name, 4) AS first_name, c_name AS last_name, right(c_name, 3) AS mrn, c_mktsegment AS address, c_nationkey::VARCHAR AS city FROM customer WHERE c_custkey % 2 = 1")
+@query("SELECT c_custkey::VARCHAR AS patient_id, 'p' || c_custkey AS person_id, right(c_name, 4) AS first_name, c_name AS last_name, right(c_name, 3) AS mrn, c_mktsegment AS address, c_nationkey::VARCHAR AS city FROM customer")
 def mpi_flat_view(spark, sf_dir):
     return mpi.flat_view(_index(spark, sf_dir)).select("patient_id", "person_id", "first_name", "last_name", "mrn", "address", "city")
 
 
 # Harmonisation.
-@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(left(text, 80), '[^\\p{L}\\p{N} ]', '', 'g'), '\\p{N}', '', 'g'), ' ')) AS name FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N} ]', '', 'g'), '\\p{N}', '', 'g'), ' ')) AS name FROM documents")
 def std_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.standardize_name(F.col("text"), case="lower").alias("name"))
 
@@ -378,7 +374,7 @@ def crosswalk_union(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT p_partkey, unnest(list_distinct([p_brand, regexp_replace(p_brand, '[^\\p{L}\\p{N}]', '', 'g')])) AS code FROM part),
-l AS (SELECT DISTINCT p_type AS condition_id, replace(p_brand, '#', '') AS code FROM part WHERE p_size < 5) SELECT DISTINCT p_partkey, condition_id FROM f JOIN l USING (code)""")
+l AS (SELECT DISTINCT p_type AS condition_id, replace(p_brand, '#', '') AS code FROM part) SELECT DISTINCT p_partkey, condition_id FROM f JOIN l USING (code)""")
 def stamp_codes(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     listed = parts.select(F.col("p_type").alias("condition_id"), F.regexp_replace("p_brand", "#", "").alias("code"))
@@ -411,9 +407,144 @@ def share_of_total(spark, sf_dir):
     return viewer.shares(table(spark, sf_dir, "customer"), "c_mktsegment").withColumn("percent", F.round("percent", 9))
 
 
-@query("SELECT event_type AS severity, count(*) AS n FROM events GROUP BY event_type")
+# Clinical XML: an order is a case report, its customer's segment the response's organization.
+_RULES = [
+    {"fieldName": "Report id", "cdaPath": "//hl7:ClinicalDocument/hl7:id", "errorType": "fatal", "attributes": [{"attributeName": "root"}]},
+    {"fieldName": "Set number", "cdaPath": "//hl7:ClinicalDocument/hl7:setId", "errorType": "errors", "attributes": [{"attributeName": "extension", "regEx": "^[0-9]*[02468]$"}]},
+    {"fieldName": "Status", "cdaPath": "//hl7:ClinicalDocument/hl7:title", "errorType": "warnings", "textRequired": "True", "regEx": "[FO]"},
+]
+
+
+def _reports(spark, sf_dir) -> DataFrame:
+    key = F.col("o_orderkey").cast("string")
+    section = lambda code: F.concat(F.lit(f'<component><section><code code="{code}"/><text>t</text><entry><observation><templateId root="t1"/><code code="a'), F.col("o_custkey").cast("string"), F.lit('"/></observation></entry><entry><observation><code code="b"/></observation></entry></section></component>'))
+    head = F.concat(F.lit('<ClinicalDocument xmlns="urn:hl7-org:v3"><id root="r'), key, F.lit('" extension="e"/><setId extension="'), key, F.lit('"/><title>'), F.col("o_orderstatus"), F.lit("</title>"))
+    # Every fifth report lacks its last end tags.
+    tail = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise("</structuredBody></component></ClinicalDocument>")
+    report = F.concat(head, F.lit("<component><structuredBody>"), section("30954-2"), section("11450-4"), tail)
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", report.alias("report"))
+
+
+@query("SELECT o_orderkey, true AS valid, CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 0 END AS errors, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS warnings, 'r' || o_orderkey AS root FROM orders")
+def report_validation(spark, sf_dir):
+    found = _reports(spark, sf_dir).select("o_orderkey", xml.validate(F.col("report"), _RULES).alias("v"))
+    return found.select("o_orderkey", F.col("v.message_valid").alias("valid"), F.size("v.errors").alias("errors"), F.size("v.warnings").alias("warnings"), F.col("v.message_ids.eicr.root").alias("root"))
+
+
+@query("""SELECT 'errors' AS severity, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 HAVING count(*) > 0 UNION ALL SELECT 'warnings', count(*) FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0
+UNION ALL SELECT 'information', count(*) FROM orders HAVING count(*) > 0""")
 def error_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("severity")).agg(F.count("*").alias("n"))
+    return xml.roll_up(_reports(spark, sf_dir).select(xml.validate(F.col("report"), _RULES).alias("result")))
+
+
+@query("SELECT o_orderkey, o_orderkey % 5 > 0 AS refined, CASE WHEN o_orderkey % 5 > 0 THEN 1 ELSE 0 END AS kept, 0 AS other, CASE WHEN o_orderkey % 5 > 0 THEN 1 ELSE 0 END AS emptied FROM orders")
+def report_refinement(spark, sf_dir):
+    """One section keeps the observations of its trigger, the other is emptied. A broken report isn't refined."""
+    refined = _reports(spark, sf_dir).withColumn("refined", xml.refine(F.col("report"), {"30954-2": {"t1"}, "11450-4": {"t9"}}))
+    times = lambda c: F.coalesce(F.regexp_count("refined", c), F.lit(0))
+    observed = F.concat(F.lit("<(?:\\w+:)?observation>[^§]*?code=\"a"), F.col("o_custkey").cast("string"), F.lit('"'))
+    return refined.select("o_orderkey", F.col("refined").isNotNull().alias("refined"), times(observed).alias("kept"), times(F.lit('<(?:\\w+:)?code code="b"')).alias("other"), times(F.lit("nullFlavor")).alias("emptied"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 AND c_custkey IS NOT NULL THEN 'x' || c_custkey END AS response, CASE WHEN o_orderkey % 5 > 0 AND c_custkey IS NOT NULL THEN 1 ELSE 0 END AS statuses,
+CASE WHEN o_orderkey % 5 > 0 AND c_custkey IS NOT NULL THEN 1 ELSE 0 END AS decided FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def report_merge(spark, sf_dir):
+    own = F.col("c_custkey").cast("string")
+    response = F.concat(
+        F.lit('<ClinicalDocument xmlns="urn:hl7-org:v3"><templateId root="t"/><id root="x'), own, F.lit('"/><code code="88085-6"/><title>Response</title><effectiveTime value="2020"/><confidentialityCode code="N"/><component><structuredBody><component><section>'),
+        F.lit(f'<templateId root="{xml.STATUS_SECTION}"/><id root="no"/><entry><act><templateId root="{xml.STATUS_ACT}"/><code code="status"/></act></entry>'),
+        F.lit('<entry typeCode="DRIV"><organizer classCode="CLUSTER" moodCode="EVN"><code code="decided"/></organizer></entry></section></component></structuredBody></component></ClinicalDocument>'),
+    )
+    responses = table(spark, sf_dir, "customer").select("c_custkey", response.alias("response"))
+    merged = _reports(spark, sf_dir).join(responses, F.col("c_custkey") == F.col("o_custkey"), "left").select("o_orderkey", xml.merge_response("response", "report").alias("merged"))
+    told = F.nullif(F.regexp_extract("merged", '<section><templateId root="t" ?/><id root="(x[0-9]+)" ?/><code code="88085-6" ?/><title>Response</title><effectiveTime value="2020" ?/><confidentialityCode code="N" ?/><entry>', 1), F.lit(""))
+    return merged.select("o_orderkey", told.alias("response"), F.regexp_count("merged", F.lit('code="status"')).alias("statuses"), F.regexp_count("merged", F.lit('code="decided"')).alias("decided"))
+
+
+# Bundles: an order with its customer and line items.
+def _bundles(spark, sf_dir) -> DataFrame:
+    kind = lambda name: F.lit(name).alias("resourceType")
+    text_of = lambda c: F.col(c).cast("string")
+    entry = lambda r: F.to_json(F.struct(r.alias("resource")))
+    c, o, l = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))  # noqa: E741
+    item = F.struct(kind("Observation"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.struct(F.array(F.struct(F.col("l_returnflag").alias("code"))).alias("coding")).alias("valueCodeableConcept"))
+    items = l.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry(item))).alias("items"), F.sort_array(F.collect_set(F.concat(F.lit("Observation/"), F.concat_ws("-", "l_orderkey", "l_linenumber")))).alias("refs"))
+    patient = F.struct(kind("Patient"), F.concat(F.lit("p"), text_of("c_custkey")).alias("id"), F.array(F.struct(F.col("c_name").alias("family"), F.array(F.lit("A"), F.col("c_mktsegment")).alias("given"))).alias("name"))
+    section = F.struct(F.struct(F.array(F.struct(F.lit("88085-6").alias("code"))).alias("coding")).alias("code"), F.transform("refs", lambda r: F.struct(r.alias("reference"))).alias("entry"))
+    composition = F.struct(kind("Composition"), F.concat(F.lit("c"), text_of("o_orderkey")).alias("id"), F.struct(F.concat(F.lit("Patient/p"), text_of("o_custkey")).alias("reference")).alias("subject"), F.array(section).alias("section"))
+    rows = o.join(c, F.col("c_custkey") == F.col("o_custkey")).join(items, F.col("l_orderkey") == F.col("o_orderkey"))
+    whole = F.concat(F.lit('{"resourceType":"Bundle","entry":['), F.concat_ws(",", F.array(entry(composition), entry(patient)), "items"), F.lit("]}"))
+    return rows.select(text_of("o_orderkey").alias("bundle_id"), F.parse_json(whole).alias("bundle"))
+
+
+@query("SELECT DISTINCT l_orderkey::VARCHAR AS bundle_id, l_returnflag AS code FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
+def find_conditions(spark, sf_dir):
+    return valuesets.reportable_conditions(tabulation.explode_bundles(_bundles(spark, sf_dir)))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS bundle_id, c_name AS family, 'A,' || c_mktsegment AS given, 'p' || c_custkey AS patient, n AS items FROM orders JOIN customer ON c_custkey = o_custkey
+JOIN (SELECT l_orderkey, string_agg(l_orderkey || '-' || l_linenumber, ',' ORDER BY l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def parsed_messages(spark, sf_dir):
+    people = "Bundle.entry.resource.where(resourceType = 'Patient')"
+    spec = {
+        "family": {"fhir_path": f"{people}.name.family"},
+        "given": {"fhir_path": f"{people}.name.given"},
+        "patient": {"fhir_path": f"{people}.id"},
+        "items": {"fhir_path": "Bundle.entry.resource.where(resourceType = 'Observation')", "secondary_schema": {"item": {"fhir_path": "Observation.id"}}},
+    }
+    found = parsing.parse(_bundles(spark, sf_dir), parsing.schema_of(spec), keep=("bundle_id",))
+    return found.withColumn("items", F.array_join(F.array_sort(F.transform("items", lambda x: x["item"])), ","))
+
+
+@query("SELECT o_orderkey, 'p' || o_custkey AS id, 'Fam' || o_custkey AS family, 'Ann Bea' AS given, strftime(o_orderdate, '%Y-%m-%d') AS born, CASE o_orderstatus WHEN 'F' THEN 'female' WHEN 'O' THEN 'other' ELSE 'unknown' END AS gender, '1 Main St' AS line, 'City' || o_custkey AS city, '555' AS phone FROM orders")
+def hl7_patient(spark, sf_dir):
+    own = F.col("o_custkey").cast("string")
+    pid = F.concat(F.lit("PID|1||p"), own, F.lit("^^^A~q||Fam"), own, F.lit("^Ann^Bea||"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("120000|"), F.col("o_orderstatus"), F.lit("|||1 Main St^^City"), own, F.lit("^ST^123||555"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", hl7.patient(F.concat(F.lit("MSH|^~\\&|A\r"), pid, F.lit("\rZZZ|x"))).alias("p"))
+    return found.select("o_orderkey", "p.id", "p.family", F.array_join("p.given", " ").alias("given"), F.col("p.birthDate").alias("born"), "p.gender", F.array_join("p.address.line", " ").alias("line"), "p.address.city", "p.phone")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'https://geocoding.geo.census.gov/geocoder/geographies/address?street=' || replace(replace(c_mktsegment || ' St,', ' ', '+'), ',', '%2C') || '&city=' || c_nationkey || '&zip=' || c_custkey || '&benchmark=Public_AR_Census2020&vintage=Census2020_Census2020&layers=[10]&format=json' END AS asked,
+CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment || ' ST' END AS line, CASE WHEN c_custkey % 3 > 0 THEN '0' || c_nationkey || '7' END AS county, CASE WHEN c_custkey % 3 > 0 THEN c_custkey / 4.0 END AS lat, CASE WHEN c_custkey % 3 > 0 THEN 2 ELSE 0 END AS extensions FROM customer""")
+def geocoded(spark, sf_dir):
+    """What is asked, and what becomes of the answers; every third customer has no street and no match."""
+    c, text_of = table(spark, sf_dir, "customer"), lambda x: F.col(x).cast("string")
+    street = F.when(F.col("c_custkey") % 3 > 0, F.concat("c_mktsegment", F.lit(" St,"))).otherwise("")
+    block = F.concat(F.lit('"geographies":{"Census Blocks":[{"STATE":"0'), text_of("c_nationkey"), F.lit('","COUNTY":"7","GEOID":"g","BASENAME":"b"}],"Census Tracts":[{"BASENAME":"t"}],"Counties":[{"BASENAME":"k"}]}'))
+    match = F.concat(F.lit('{"matchedAddress":"'), "c_mktsegment", F.lit(' ST, X","coordinates":{"x":1.5,"y":'), (F.col("c_custkey") / 4).cast("string"), F.lit('},"addressComponents":{"city":"X","state":"S","zip":"Z"},'), block, F.lit("}"))
+    answer = F.concat(F.lit('{"result":{"addressMatches":['), F.when(F.col("c_custkey") % 3 > 0, match).otherwise(""), F.lit("]}}"))
+    found = c.select("c_custkey", geocode.census_url(street, text_of("c_nationkey"), F.lit(None).cast("string"), text_of("c_custkey")).alias("asked"), geocode.census_place(answer).alias("place"))
+    none = F.lit(None).cast("string")
+    placed = found.withColumn("a", geocode.placed(F.struct(F.array().cast("array<string>").alias("line"), none.alias("city"), none.alias("state"), none.alias("postalCode")), F.col("place")))
+    return placed.select("c_custkey", "asked", F.nullif(F.array_join("a.line", ""), F.lit("")).alias("line"), F.col("place.county_fips").alias("county"), F.col("place.lat").alias("lat"), (F.size("a.extension") + F.coalesce(F.size("a._line"), F.lit(0))).alias("extensions"))
+
+
+@query("""WITH n AS (SELECT c_nationkey AS request_id, min('p' || c_custkey) AS patient_id FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL HAVING count(*) = 1)
+SELECT request_id, '/Encounter?subject=' || patient_id || '&reason-reference=' || (SELECT arg_min(s_suppkey, s_suppkey) FROM supplier WHERE s_nationkey = request_id) AS search FROM n WHERE request_id IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT c_custkey + 100, 'Patient?given=A&family=' || c_name || '&identifier=' || c_custkey || '&' FROM customer""")
+def patient_searches(spark, sf_dir):
+    """Nations are requests that find their customers of one segment; suppliers stand for conditions. Every customer is searched, too."""
+    found = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("request_id"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("patient_id"))
+    conditions = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("request_id"), F.col("s_suppkey").alias("pos"), F.col("s_suppkey").cast("string").alias("condition_id"))
+    second = searching.encounter_searches(searching.only_patients(found), conditions)
+    none = F.lit(None).cast("string")
+    asked = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 100).alias("request_id"), searching.patient_search(F.lit("A"), F.col("c_name"), none, F.col("c_custkey").cast("string"), none).alias("search"))
+    return second.unionByName(asked)
+
+
+_LAC = " AND ".join(f"CASE WHEN a.{c} = b.{c} THEN 1 ELSE 1.0::DOUBLE - levenshtein(a.{c}, b.{c})::DOUBLE / greatest(length(a.{c}), length(b.{c})) END >= 0.7" for c in ("p_name", "p_brand"))
+
+
+@query(f"""WITH m AS (SELECT a.p_partkey AS root, b.p_partkey AS member FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND left(a.p_name, 4) = left(b.p_name, 4) AND left(a.p_type, 4) = left(b.p_type, 4) AND a.p_size = b.p_size WHERE {_LAC}
+UNION SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND left(a.p_name, 4) = left(b.p_name, 4) AND left(a.p_type, 4) = left(b.p_type, 4) AND a.p_brand = b.p_brand WHERE {_LAC}
+UNION SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_size = b.p_size AND a.p_brand = b.p_brand WHERE {_LAC}) SELECT root, member FROM m""")
+def link_deterministic(spark, sf_dir):
+    """The three rules on parts: name and type stand for both names, size for the birth date, brand for the address."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
+    named = {"first_name": "p_name", "last_name": "p_type", "birthdate": "p_size", "address": "p_brand"}
+    passes = [replace(p, funcs={"p_name": FUZZY, "p_brand": FUZZY}, blocks=tuple(BlockKey(named[b.value], None if b.value == "address" else b.transformation) for b in p.blocks)) for p in deterministic()]
+    passes[2] = replace(passes[2], blocks=(*passes[2].blocks, BlockKey("p_brand")))
+    return link.link(parts, passes, "p_partkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, ((row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) - 1) // 500)::BIGINT AS chunk FROM lineitem")

@@ -70,15 +70,8 @@ def batch_messages(batch: Column) -> Column:
     """The messages of a batch file: one from each MSH on; batch and file segments go, each line ends with CR."""
     clean = F.regexp_replace(F.regexp_replace(F.trim(batch), "[\r\n]+", "\n"), "[\u000b\u001c]", "")
     lines = F.filter(F.split(clean, "\n"), lambda x: ~F.substring(x, 1, 3).isin(*_BATCH_SEGMENTS) & (x != ""))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def step(acc: Column, line: Column) -> Column:
-        text = F.concat(line, F.lit("\r"))
-        new = F.startswith(line, F.lit("MSH"))
-        done = F.when(new & (acc["now"] != ""), F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(new, text).otherwise(F.concat(acc["now"], text)).alias("now"))
-
-    return F.aggregate(lines, start, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
+    whole = F.concat(F.array_join(lines, "\r"), F.lit("\r"))
+    return F.when(F.size(lines) > 0, F.split(whole, "(?<=\r)(?=MSH)")).otherwise(F.array().cast("array<string>"))
 
 
 def explode_batches(files: DataFrame, content: str = "value") -> DataFrame:
@@ -96,3 +89,26 @@ def message_structure(message: Column) -> Column:
     nine = F.split_part(F.element_at(_lines(message), 1), F.lit("|"), F.lit(9))
     third = F.split_part(nine, F.lit("^"), F.lit(3))
     return F.when(third != "", third).otherwise(F.concat_ws("_", F.split_part(nine, F.lit("^"), F.lit(1)), F.nullif(F.split_part(nine, F.lit("^"), F.lit(2)), F.lit(""))))
+
+
+def patient(message: Column) -> Column:
+    """The Patient that the first PID segment tells of: id (PID-3), name, birthDate, gender, address and phone; null without PID.
+
+    Empty parts are null, of repeated fields the first counts, given names are those of PID-5.2 and 5.3.
+    """
+    pid = F.get(F.filter(_lines(message), lambda x: F.startswith(x, F.lit("PID|"))), F.lit(0))
+    field = lambda n: F.split_part(F.split_part(pid, F.lit("|"), F.lit(n + 1)), F.lit("~"), F.lit(1))
+    part = lambda n, k: F.nullif(F.trim(F.split_part(field(n), F.lit("^"), F.lit(k))), F.lit(""))
+    some = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
+    # The codes of administrative sex.
+    sex = F.upper(part(8, 1))
+    gender = F.when(sex == "M", "male").when(sex == "F", "female").when(sex.isin("O", "A"), "other").when(sex.isNotNull(), "unknown")
+    return F.when(
+        pid.isNotNull(),
+        F.struct(
+            part(3, 1).alias("id"), part(5, 1).alias("family"), some(part(5, 2), part(5, 3)).alias("given"),
+            F.date_format(F.try_to_timestamp(F.left(part(7, 1), F.lit(8)), F.lit("yyyyMMdd")), "yyyy-MM-dd").alias("birthDate"), gender.alias("gender"),
+            F.struct(some(part(11, 1), part(11, 2)).alias("line"), part(11, 3).alias("city"), part(11, 4).alias("state"), part(11, 5).alias("postalCode"), part(11, 6).alias("country")).alias("address"),
+            part(13, 1).alias("phone"),
+        ),
+    )

@@ -10,7 +10,7 @@ from functools import reduce
 from operator import add, and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -25,6 +25,16 @@ def block_value(column: Column, transformation: str | None) -> Column:
     return column
 
 
+def derived(data: DataFrame) -> DataFrame:
+    """data (first_name, last_name, birthdate as year-month-day, mrn) with what evaluations block on: mrn4, birth_month, birth_year,
+    dm_first and dm_last (the primary code of the whole name). A date without a hyphen is its own month and year; null stays null."""
+    from ..functions.phonetic import double_metaphone_codes
+
+    part = lambda n: F.when(F.contains("birthdate", F.lit("-")), F.split_part("birthdate", F.lit("-"), F.lit(n))).otherwise(F.col("birthdate"))
+    code = lambda c: F.get(double_metaphone_codes(c), F.lit(0))
+    return data.withColumns({"mrn4": F.right("mrn", F.lit(4)), "birth_month": part(2), "birth_year": part(1), "dm_first": code("first_name"), "dm_last": code("last_name")})
+
+
 def with_blocks(data: DataFrame, blocks: tuple[BlockKey, ...]) -> DataFrame:
     """data with __b0, __b1, ...; rows with a null key belong to no block."""
     out = data
@@ -289,9 +299,10 @@ def link(data: DataFrame, passes: list[Pass], record_id: str) -> DataFrame:
     return compiled([linkage_pass(data, p, record_id) for p in passes])
 
 
-
-
-def numbered(ids: DataFrame) -> DataFrame:
-    """ids (i) with their place k from 0, in no set order: counted by partition, so no task sees them all."""
-    kind = ids.schema["i"].dataType.simpleString()
-    return ids.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), f"i {kind}, k long")
+def numbered(ids: DataFrame, parts: int = 1024) -> DataFrame:
+    """ids (i) with their place k from 0, in no set order: numbered within parts by hash, after the counts of the parts before."""
+    dealt = ids.select("i", F.pmod(F.xxhash64("i"), F.lit(parts)).alias("part"))
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("i")) - 1 + F.col("start")
+    return dealt.join(F.broadcast(starts), "part").select("i", place.cast("long").alias("k"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import add, and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -91,21 +94,38 @@ def by_organization(reports: DataFrame) -> DataFrame:
 
 
 def same_organization(organizations: DataFrame) -> DataFrame:
-    """id, telecom of another organization at the same address (missing parts equal missing parts); the last one counts."""
-    parts = ("line", "city", "state", "postal_code", "country")
-    a, b = organizations.alias("a"), organizations.alias("b")
-    on = F.col("a.id") != F.col("b.id")
-    for p in parts:
-        on = on & F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}"))
-    return a.join(b, on).groupBy(F.col("a.id").alias("id")).agg(F.max_by("b.telecom", "b.pos").alias("telecom"))
-
-
-def chunks(rows: DataFrame, order: str, size: int = 500) -> DataFrame:
-    """rows with place (from 0, in order) and chunk. Places are counted by range, so no task numbers all rows."""
-    spark = rows.sparkSession
-    ordered = rows.orderBy(order)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, place long"
-    numbered = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """id, telecom of another organization at the same address (missing parts equal missing parts); the last one counts.
+
+    Two organizations an address are enough, as only the last one itself needs the one before; so an address with very many
+    makes no pairs.
+    """
+    parts = ["line", "city", "state", "postal_code", "country"]
+    own = organizations.groupBy("id", *parts).agg(F.max(F.struct("pos", "telecom")).alias("last"))
+    order = Window.partitionBy(*parts).orderBy(F.desc("last"), "id")
+    top = own.withColumn("n", F.row_number().over(order)).where("n <= 2")
+    best = top.groupBy(*parts).agg(F.max_by("id", -F.col("n")).alias("first_id"), F.max_by("last", -F.col("n")).alias("first"), F.max_by("last", F.when(F.col("n") == 2, 1)).alias("second"))
+    a, b = own.alias("a"), best.alias("b")
+    joined = a.join(b, reduce(and_, [F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}")) for p in parts]))
+    other = F.when(F.col("a.id") == F.col("b.first_id"), F.col("b.second")).otherwise(F.col("b.first"))
+    found = joined.select(F.col("a.id").alias("id"), other.alias("other")).where("other IS NOT NULL")
+    return found.groupBy("id").agg(F.max("other").alias("other")).select("id", F.col("other.telecom").alias("telecom"))
+
+
+def chunks(rows: DataFrame, order: str, size: int = 500, ranges: int = 64) -> DataFrame:
+    """rows with place (from 0, in order; nulls first) and chunk.
+
+    Rows are numbered within ranges of the order, each by itself, and the ranges' counts are added up. A bounded sample of
+    values says where ranges begin; that evens out the work and changes no place.
+    """
+    some = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(100 * ranges).collect())
+    bounds = sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
+    reached = reduce(add, [F.coalesce((F.col(order) >= F.lit(x)).cast("int"), F.lit(0)) for x in bounds], F.lit(0))
+    ranged = rows.withColumn("__range", reached)
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1 + F.col("__start")
+    numbered = ranged.join(F.broadcast(starts), "__range").withColumn("place", place.cast("long")).drop("__range", "__start")
     return numbered.withColumn("chunk", F.floor(F.col("place") / size))
 
 

@@ -41,12 +41,57 @@ class Document:
         return holder.findall((".//" if path.startswith("//") else "./") + "/".join([first, *steps[1:]]), NAMESPACES)
 
 
-def document(text: str | None) -> Document | None:
-    """The document, or null if it can't be parsed."""
+_MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>]*>|<(/?)([A-Za-z_][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+_BARE = re.compile(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)")
+_ATTRIBUTE = re.compile(r"([A-Za-z_][\w:.-]*)\s*=\s*(\"[^\"]*\"|'[^']*')")
+
+
+def mended(text: str) -> str:
+    """Broken XML made well-formed: elements left open are closed where their parent ends, end tags that close nothing go,
+    bare signs are escaped, and of each attribute the first counts. What stands outside the first root element goes."""
+    out, still_open, at = [], [], 0
+    plain = lambda x: _BARE.sub("&amp;", x).replace("<", "&lt;")
+    for m in _MARKUP.finditer(text):
+        if still_open:
+            out.append(plain(text[at : m.start()]))
+        at = m.end()
+        closing, name, rest, empty = m.groups()
+        if name is None:
+            if still_open and m[0].startswith("<![CDATA["):
+                out.append(m[0])
+        elif closing:
+            if name in still_open:
+                while (last := still_open.pop()) != name:
+                    out.append(f"</{last}>")
+                out.append(f"</{name}>")
+                if not still_open:
+                    break
+        else:
+            held = {k: v for k, v in reversed(_ATTRIBUTE.findall(rest))}
+            out.append(f"<{name}{''.join(f' {k}={plain(v)}' for k, v in reversed(held.items()))}{empty}>")
+            if not empty:
+                still_open.append(name)
+            elif not still_open:
+                break
+    else:
+        if still_open:
+            out.append(plain(text[at:]))
+    return "".join(out) + "".join(f"</{x}>" for x in reversed(still_open))
+
+
+def document(text: str | None, mend: bool = False) -> Document | None:
+    """The document, or null if it can't be parsed; with mend a broken one is mended first."""
     try:
         root = ET.fromstring(text)
-    except (ET.ParseError, TypeError, ValueError):
+    except (TypeError, ValueError):
         return None
+    except ET.ParseError:
+        if not mend:
+            return None
+        try:
+            root = ET.fromstring(mended(text))
+        except ET.ParseError:
+            return None
     return Document(root, {c: p for p in root.iter() for c in p})
 
 
@@ -98,6 +143,7 @@ def _matches(doc: Document, found: list[ET.Element], rule: dict) -> list[ET.Elem
     return out
 
 
+# Messages that users see are fixed values.
 def details(rule: dict, value: str | None = None) -> str:
     text = f"Field name: '{rule.get('fieldName')}'"
     if value:
@@ -141,7 +187,7 @@ def message_ids(doc: Document) -> dict:
 
 def validate_one(text: str | None, rules: list[dict], include: tuple[str, ...] = SEVERITIES) -> dict:
     messages: dict[str, list[str]] = {s: [] for s in SEVERITIES}
-    doc = document(text)
+    doc = document(text, mend=True)
     ids = {"eicr": None, "rr": None}
     if doc is None:
         messages["fatal"].append("eCR Message is not valid XML!")
@@ -313,26 +359,52 @@ def observation_table(ecr: Column, templates: set[str]) -> Column:
     return run(ecr)
 
 
-def merge_response_one(rr: str, ecr: str) -> str | None:
-    """The case report with the response's reportability section, once; of several organizers the last is taken."""
-    a, b = document(ecr), document(rr)
-    if a is None or b is None:
-        return ecr
-    if a.root.find(".//hl7:section/hl7:code[@code='88085-6']", NAMESPACES) is not None:
+# What a case report takes from a response's root, the template of the section of its status and of the status itself.
+RESPONSE_PARTS = ("templateId", "id", "code", "title", "effectiveTime", "confidentialityCode")
+STATUS_SECTION, STATUS_ACT = "2.16.840.1.113883.10.20.15.2.2.3", "2.16.840.1.113883.10.20.15.2.3.29"
+RESPONSE_CODE = "88085-6"
+
+
+def _response_sections(response: Document) -> list[ET.Element]:
+    return response.root.findall("hl7:component/hl7:structuredBody/hl7:component/hl7:section", NAMESPACES)
+
+
+def _decisive_entry(sections: list[ET.Element]) -> ET.Element | None:
+    """The entry derived from the case: an event cluster. Of several the last counts."""
+    found = None
+    for entry in (e for s in sections for e in s.findall("hl7:entry", NAMESPACES) if "DRIV" in e.get("typeCode", "")):
+        organizer = entry.find("hl7:organizer", NAMESPACES)
+        if organizer is not None and "CLUSTER" in organizer.get("classCode", "") and "EVN" in organizer.get("moodCode", ""):
+            found = entry
+    return found
+
+
+def _status_entry(sections: list[ET.Element]) -> ET.Element | None:
+    """The entry that tells the response's processing status; of several the last counts."""
+
+    def templated(e: ET.Element, wanted: str) -> bool:
+        template = e.find("hl7:templateId", NAMESPACES)
+        return template is not None and wanted in template.get("root", "")
+
+    entries = [e for s in sections if templated(s, STATUS_SECTION) for e in s.findall("hl7:entry", NAMESPACES)]
+    return next((e for e in reversed(entries) if any(templated(a, STATUS_ACT) for a in e.findall("hl7:act", NAMESPACES))), None)
+
+
+def merge_response_one(rr: str | None, ecr: str | None) -> str | None:
+    """The case report with a section made of its response, at the end of the root: the parts of the response's root, its
+    status entry and its decisive entry. A report that has the response's code anywhere stays, as it does where the response has
+    no decisive entry or either is no XML; null stays null."""
+    report, response = document(ecr), document(rr)
+    if report is None or response is None or any(e.get("code") == RESPONSE_CODE for e in report.root.iter()):
         return ecr
-    entries = [e for e in b.root.iter(f"{{{HL7}}}entry") if e.get("typeCode") == "DRIV" and (o := e.find("hl7:organizer", NAMESPACES)) is not None and o.get("classCode") == "CLUSTER" and o.get("moodCode") == "EVN"]
-    body = a.root.find(".//hl7:structuredBody", NAMESPACES)
-    if body is None or not entries:
+    sections = _response_sections(response)
+    entry = _decisive_entry(sections)
+    if entry is None:
         return ecr
-    section = ET.SubElement(ET.SubElement(body, f"{{{HL7}}}component"), f"{{{HL7}}}section")
-    for tag in ("templateId", "id", "code", "title", "text"):
-        found = b.root.find(f".//hl7:section/hl7:{tag}", NAMESPACES) if tag != "id" else b.root.find("hl7:id", NAMESPACES)
-        if tag == "code":
-            ET.SubElement(section, f"{{{HL7}}}code", code="88085-6", codeSystem="2.16.840.1.113883.6.1", codeSystemName="LOINC", displayName="Reportability response report Document Public health")
-        elif found is not None:
-            section.append(copy.deepcopy(found))
-    section.append(copy.deepcopy(entries[-1]))
-    return ET.tostring(a.root, encoding="unicode")
+    parts = [response.root.find(f"hl7:{tag}", NAMESPACES) for tag in RESPONSE_PARTS] + [_status_entry(sections), entry]
+    section = ET.SubElement(report.root, f"{{{HL7}}}section")
+    section.extend([copy.deepcopy(p) for p in parts if p is not None])
+    return ET.tostring(report.root, encoding="unicode")
 
 
 @F.pandas_udf(StringType())
@@ -348,7 +420,9 @@ def resolve_references_one(xml: str | None) -> str | None:
     by_id = {e.get("ID"): "".join(e.itertext()).strip() for e in doc.root.iter() if e.get("ID")}
     for e in list(doc.root.iter()):
         if local(e.tag) == "reference" and (v := e.get("value") or "").startswith("#") and v[1:] in by_id:
-            doc.parents[e].text = by_id[v[1:]]
+            parent = doc.parents[e]
+            parent.text = by_id[v[1:]]
+            parent.remove(e)
     return ET.tostring(doc.root, encoding="unicode")
 
 

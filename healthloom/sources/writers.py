@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tabulation import flat
+from ..operators.tabulation import flat, tables
 from ..plans.tables import TableSpec
 
 BATCH = 500
@@ -58,13 +58,31 @@ def upload(bundles: DataFrame, server: str, post: Callable[[str, bytes], tuple[i
     return bundles.mapInPandas(run, "bundle_id string, batch long, status int, failed int")
 
 
-def append_index(rows: dict[str, DataFrame], folder: str) -> None:
-    """Rows to the index's tables, in the order of their foreign keys. Ids are hashes, so a batch that is written again can be told."""
+def append_index(rows: dict[str, DataFrame], folder: str, known: dict[str, DataFrame] | None = None) -> None:
+    """Rows to the index's tables, in the order of their foreign keys. With known, those whose id a table has already stay out."""
     from ..operators.mpi import TABLES
 
     for t in TABLES:
         if t in rows:
-            rows[t].write.mode("append").parquet(f"{folder}/{t}")
+            key = rows[t].columns[0]
+            fresh = rows[t].join(known[t].select(key), key, "left_anti").select(*rows[t].columns) if known else rows[t]
+            fresh.write.mode("append").parquet(f"{folder}/{t}")
+
+
+def generate_tables(resources: DataFrame, schema: dict[str, TableSpec], outputs: dict[str, dict[str, str]], **options) -> dict[str, list[str]]:
+    """Tabulates resources by every table of a schema and writes each one; returns the tables' columns.
+
+    outputs names for each table where it goes: path and kind (csv, parquet or sql), as write_table takes them. Its columns are
+    cast to the schema's types.
+    """
+    if missing := [t for t in schema if t not in outputs]:
+        raise ValueError(f"no output is named for {', '.join(missing)}")
+    columns = {}
+    for name, rows in tables(resources, schema, **options).items():
+        made = typed(rows, schema[name])
+        write_table(made, **{"table": name, **outputs[name]})
+        columns[name] = made.columns
+    return columns
 
 
 def case_tables(cases: DataFrame) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,17 +16,21 @@ from ..sources import readers, writers
 def link_stream(records: DataFrame, folder: str, passes: list[Pass], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Links each micro-batch of records against the index in folder, then appends it there.
 
-    A batch is one commit of the stream's checkpoint; its rows have hashed ids, and those that are there already are left out,
-    so a batch that is run again after a failure adds nothing twice.
+    A batch is linked once: its result is written under the batch's number before any table grows, and read from there when the
+    batch is run again after a failure. Rows have hashed ids; a batch run again adds those that are not there yet to each table
+    by itself, so a run that ended between two tables, or within one, loses nothing and adds nothing twice.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def one(batch: DataFrame, _: int) -> None:
+    def one(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         known = readers.index_tables(spark, folder)
-        fresh = batch.join(known["patient"].select("patient_id"), "patient_id", "left_anti")
-        linked = mpi.link(fresh, known, passes).cache()
-        writers.append_index(mpi.rows_to_insert(linked), folder)
-        linked.unpersist()
+        staged = f"{folder}/_linked/{stream}/{n}"
+        again = readers.exists(spark, f"{staged}/_SUCCESS")
+        if not again:
+            fresh = batch.dropDuplicates(["patient_id"]).join(known["patient"].select("patient_id"), "patient_id", "left_anti")
+            mpi.link(fresh, known, passes).write.mode("overwrite").parquet(staged)
+        writers.append_index(mpi.rows_to_insert(spark.read.parquet(staged)), folder, known if again else None)
 
     writer = records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

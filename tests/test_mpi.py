@@ -59,3 +59,28 @@ def test_stream_links_and_appends(spark, index, tmp_path):
         link_stream(stream, folder, BASIC, str(tmp_path / f"check{n}")).awaitTermination()
     got = readers.index_tables(spark, folder)
     assert got["patient"].count() == 2 and got["person"].count() == 1
+
+
+@pytest.mark.parametrize("last", ["person", "patient", "name", "given_name", "identifier"])
+def test_a_stream_that_died_between_tables_loses_nothing(spark, index, tmp_path, monkeypatch, last):
+    from healthloom.sources import readers, writers
+    from healthloom.streaming.incremental import link_stream
+
+    folder, check = str(tmp_path / "index"), str(tmp_path / "check")
+    writers.append_index(index, folder)
+    rows = [("n1", "John", "O'Shepard", "1980-01-01", "male", "MRN-123456", ["12 Main St"], ["Anywhere"], ["CA"], ["90909"]), ("n2", "Ana", "Lopez", "1990-05-05", "female", "M-1", ["9 Elm", "8 Oak"], ["Else", "B"], ["NY", "C"], ["1", "2"])]
+    spark.createDataFrame(rows, mpi.RECORD).write.parquet(str(tmp_path / "in"))
+    run = lambda: link_stream(spark.readStream.schema(mpi.RECORD).parquet(str(tmp_path / "in")), folder, BASIC, check).awaitTermination()
+    append = writers.append_index
+
+    def dying(tables, to, known=None):
+        append({t: d for t, d in tables.items() if list(mpi.TABLES).index(t) <= list(mpi.TABLES).index(last)}, to, known)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(writers, "append_index", dying)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(writers, "append_index", append)
+    run()
+    got = readers.index_tables(spark, folder)
+    assert {t: got[t].count() for t in ("person", "patient", "name", "given_name", "identifier", "address")} == {"person": 2, "patient": 3, "name": 3, "given_name": 3, "identifier": 3, "address": 4}

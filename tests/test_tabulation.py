@@ -198,3 +198,51 @@ def test_tabulation_stream(spark, tmp_path):
     (tmp_path / "in" / "a.json").write_text(json.dumps(BUNDLE))
     tabulate_stream(spark, str(tmp_path / "in"), tables.checked(SCHEMA)["Patients"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["p1"]
+
+
+def test_generate_tables(spark, tmp_path):
+    from healthloom.plans.tables import ColumnSpec, TableSpec
+    from healthloom.sources import writers
+
+    rows = spark.createDataFrame([("a", 1.5, True, "x"), ("b", None, False, "bad")], "id string, weight double, living boolean, kind string")
+    resources = tabulation.resources_of(rows, "Patient", F.col("id"))
+    schema = {
+        "people": TableSpec("people", "Patient", (ColumnSpec("id", "Patient.id"), ColumnSpec("weight", "Patient.weight", data_type="number"), ColumnSpec("living", "Patient.living", data_type="boolean"))),
+        "kinds": TableSpec("kinds", "Patient", (ColumnSpec("kind", "Patient.kind", invalid_values=("bad",)),)),
+    }
+    with pytest.raises(ValueError):
+        writers.generate_tables(resources, schema, {"people": {"path": "x", "kind": "csv"}})
+    got = writers.generate_tables(resources, schema, {"people": {"path": str(tmp_path / "p"), "kind": "parquet"}, "kinds": {"path": str(tmp_path / "k"), "kind": "csv"}})
+    assert got == {"people": ["id", "weight", "living"], "kinds": ["kind"]}
+    people = spark.read.parquet(str(tmp_path / "p"))
+    assert dict(people.dtypes) == {"id": "string", "weight": "float", "living": "boolean"} and sorted(map(tuple, people.collect())) == [("a", 1.5, True), ("b", None, False)]
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "k")).collect()] == [("x",)]
+
+
+def test_chunks_and_same_organization(spark):
+    from healthloom.operators import viewer
+
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else f"v{i * 7919 % 1000:04}") for i in range(1000)], "id int, v string")
+    got = viewer.chunks(rows, "v", 30, 5).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1000)) and all(r["chunk"] == r["place"] // 30 for r in got)
+    assert [r["v"] or "" for r in got] == sorted(r["v"] or "" for r in got) and viewer.chunks(rows.limit(0), "v").count() == 0
+    places = [(1, 1, "t1", "a"), (2, 2, "t2", "a"), (3, 3, "t3", "a"), (4, 4, "t4", None), (5, 5, "t5", None), (6, 6, "t6", "b"), (2, 9, "t9", "a")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("city", "state", "postal_code", "country")]
+    found = viewer.same_organization(spark.createDataFrame(places, "id int, pos int, telecom string, line string").select("*", *none))
+    assert {tuple(r) for r in found.collect()} == {(1, "t9"), (2, "t3"), (3, "t9"), (4, "t5"), (5, "t4")}
+
+
+def test_places_of_answers(spark):
+    import json
+
+    from healthloom.operators import geocode
+
+    candidate = {"delivery_line_1": "1 Elm", "delivery_line_2": "Apt 2", "components": {"city_name": "C", "state_abbreviation": "S", "zipcode": "Z"}, "metadata": {"latitude": 1.5, "longitude": -2.5, "county_fips": "7", "county_name": "K", "precision": "Zip9"}}
+    answers = [json.dumps([candidate]), "[]", "nothing", None, json.dumps([{**candidate, "metadata": {}}])]
+    rows = spark.createDataFrame(list(enumerate(answers)), "i int, a string").select("i", geocode.street_place(F.col("a")).alias("p"), geocode.census_place(F.col("a")).alias("c"))
+    got = {r["i"]: r for r in rows.select("i", "p", "c", geocode.geolocation(F.col("p")).alias("g")).collect()}
+    assert got[0]["p"]["line"] == ["1 Elm", "Apt 2"] and (got[0]["p"]["lat"], got[0]["p"]["lng"], got[0]["p"]["city"]) == (1.5, -2.5, "C")
+    assert [(e["url"], e["valueDecimal"]) for e in got[0]["g"]["extension"]] == [("latitude", 1.5), ("longitude", -2.5)]
+    assert all(got[i]["p"] is None and got[i]["g"] is None for i in range(1, 5)) and all(r["c"] is None for r in got.values())
+    one = spark.range(1).select(geocode.census_url(F.lit("1 Elm St, 2")).alias("u"), geocode.census_url(F.lit("")).alias("n"), geocode.tract_lines(F.array(F.lit("a"), F.lit("b")), F.lit("t")).alias("l")).first()
+    assert "onelineaddress?address=1+Elm+St%2C+2&" in one["u"] and one["n"] is None and len(one["l"]) == 2

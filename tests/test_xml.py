@@ -14,8 +14,8 @@ ECR = """<ClinicalDocument xmlns="urn:hl7-org:v3"><id root="r1" extension="e1"/>
 </structuredBody></component></ClinicalDocument>"""
 NAME = "//hl7:ClinicalDocument/hl7:recordTarget/hl7:patientRole/hl7:patient/hl7:name"
 RULES = [
-    {"fieldName": "eICR", "cdaPath": "//hl7:ClinicalDocument/hl7:id", "errorType": "errors", "attributes": [{"attributeName": "root"}]},
-    {"fieldName": "Version", "cdaPath": "//hl7:ClinicalDocument/hl7:versionNumber", "errorType": "fatal", "attributes": [{"attributeName": "value", "regEx": "[0-9]"}]},
+    {"fieldName": "Report", "cdaPath": "//hl7:ClinicalDocument/hl7:id", "errorType": "errors", "attributes": [{"attributeName": "extension"}]},
+    {"fieldName": "Kind", "cdaPath": "//hl7:ClinicalDocument/hl7:code", "errorType": "fatal", "attributes": [{"attributeName": "code", "regEx": "^[0-9-]+$"}]},
     {"fieldName": "First Name", "cdaPath": f"{NAME}/hl7:given", "errorType": "fatal", "textRequired": "True", "relatives": [{"name": "name", "cdaPath": NAME, "attributes": [{"attributeName": "use", "regEx": "L"}]}]},
     {"fieldName": "Missing", "cdaPath": "//hl7:ClinicalDocument/hl7:nothing", "errorType": "warnings"},
 ]
@@ -23,11 +23,11 @@ SECTIONS = {"30954-2": {"t1"}, "11450-4": {"t9"}}
 
 
 def test_validation(spark):
-    rows = spark.createDataFrame([(ECR,), ("<broken",), (None,), (ECR.replace('versionNumber value="1"', 'versionNumber value="x"'),)], "x string")
-    good, broken, null, version = (r["v"] for r in rows.select(xml.validate(F.col("x"), RULES).alias("v")).collect())
+    rows = spark.createDataFrame([(ECR,), ("<broken",), (None,), (ECR.replace('code="55751-2"', 'code="x"'),)], "x string")
+    good, broken, null, kind = (r["v"] for r in rows.select(xml.validate(F.col("x"), RULES).alias("v")).collect())
     assert good["message_valid"] and good["errors"] == [] and len(good["warnings"]) == 1 and good["message_ids"]["eicr"]["extension"] == "e1"
     assert good["information"] and not broken["message_valid"] and not null["message_valid"]
-    assert broken["fatal"] and not version["message_valid"] and not version["information"]
+    assert broken["fatal"] and not kind["message_valid"] and not kind["information"]
     n = {r["severity"]: r["n"] for r in xml.roll_up(rows.select(xml.validate(F.col("x"), RULES).alias("result"))).collect()}
     assert n == {"fatal": 3, "warnings": 2, "information": 1}
     assert xml.validate_one(ECR, RULES, ("errors",))["warnings"] == []
@@ -44,12 +44,42 @@ def test_refinement():
     assert xml.refine_one("nope", SECTIONS) is None
 
 
-def test_merge_and_references():
-    rr = '<ClinicalDocument xmlns="urn:hl7-org:v3"><id root="rr"/><component><structuredBody><component><section><entry typeCode="DRIV"><organizer classCode="CLUSTER" moodCode="EVN"/></entry></section></component></structuredBody></component></ClinicalDocument>'
-    merged = xml.merge_response_one(rr, ECR)
-    assert "88085-6" in merged and xml.merge_response_one(rr, merged) == merged
+RESPONSE = f"""<ClinicalDocument xmlns="urn:hl7-org:v3"><templateId root="t0"/><templateId root="t00"/><id root="rr"/><code code="88085-6"/><title>Response</title><effectiveTime value="2024"/><confidentialityCode code="N"/>
+<component><structuredBody><component><section><templateId root="{xml.STATUS_SECTION}"/><title>Nested</title><id root="nested"/><entry><act><templateId root="{xml.STATUS_ACT}"/><code code="s1"/></act></entry><entry><act><templateId root="other"/></act></entry></section></component>
+<component><section><entry typeCode="DRIV"><organizer classCode="CLUSTER" moodCode="EVN"><id root="one"/></organizer></entry><entry typeCode="DRIV"><organizer classCode="CLUSTER" moodCode="EVN"><id root="two"/></organizer></entry><entry typeCode="DRIV"><act/></entry></section></component></structuredBody></component></ClinicalDocument>"""
+
+
+def test_merge():
+    merged = xml.merge_response_one(RESPONSE, ECR)
+    root = xml.document(merged).root
+    section = root[-1]
+    names = [xml.local(e.tag) for e in section]
+    assert xml.local(section.tag) == "section" and names == ["templateId", "id", "code", "title", "effectiveTime", "confidentialityCode", "entry", "entry"]
+    assert [section[0].get("root"), section[1].get("root"), section[3].text, section[4].get("value")] == ["t0", "rr", "Response", "2024"]
+    assert 's1' in merged and 'root="two"' in merged and 'root="one"' not in merged and "Nested" not in merged
+    assert len(root) == len(xml.document(ECR).root) + 1
+    assert xml.merge_response_one(RESPONSE, merged) == merged
     assert xml.message_ids(xml.document(merged))["rr"]["root"] == "rr"
-    assert "<code>free</code>" in xml.resolve_references_one('<a><text ID="x">free</text><code><reference value="#x"/></code></a>').replace("<reference value=\"#x\" />", "")
+    # Without a decisive entry, or without XML, the report stays.
+    for rr in (RESPONSE.replace("DRIV", "X"), "<a", None, ""):
+        assert xml.merge_response_one(rr, ECR) == ECR
+    assert xml.merge_response_one(RESPONSE, "<a") == "<a" and xml.merge_response_one(RESPONSE, None) is None
+    bare = RESPONSE.replace("<title>Response</title>", "").replace(xml.STATUS_ACT, "no")
+    assert [xml.local(e.tag) for e in xml.document(xml.merge_response_one(bare, ECR)).root[-1]] == ["templateId", "id", "code", "effectiveTime", "confidentialityCode", "entry"]
+
+
+def test_references():
+    out = xml.resolve_references_one('<a><text ID="x">free</text><code><reference value="#x"/></code><code><reference value="#y"/></code></a>')
+    assert out == '<a><text ID="x">free</text><code>free</code><code><reference value="#y" /></code></a>'
+
+
+def test_broken_messages_are_validated():
+    for broken in (ECR.replace("</versionNumber>", "").replace("</patient>", ""), ECR.replace("<family>", "<family>A & B < C "), ECR.replace("</ClinicalDocument>", ""), ECR + "<more>", ECR.replace('root="r1"', 'root="r1" root="r2"')):
+        got = xml.validate_one(broken, RULES)
+        assert got["message_valid"] and got["message_ids"]["eicr"] == {"root": "r1", "extension": "e1"}, broken
+    assert not xml.validate_one("no markup", RULES)["message_valid"]
+    assert xml.mended("<a x='1' x='2'><b>1 < 2 & 3 &amp; 4</c><d/></a> tail") == "<a x='1'><b>1 &lt; 2 &amp; 3 &amp; 4<d/></b></a>"
+    assert xml.refine_one(ECR.replace("</patient>", ""), SECTIONS) is None
 
 
 def test_settings_and_zip(spark, tmp_path):
