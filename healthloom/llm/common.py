@@ -61,6 +61,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def free(name: str, taken: set[str]) -> str:
+    """name, with underscores added until it is none of those taken (lower case)."""
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed_join(left: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", bound: int = 50_000, salts: int = 32) -> DataFrame:
     """left joined to small, which has one row a key and is already written, so counting it is cheap.
 
@@ -69,8 +76,9 @@ def keyed_join(left: DataFrame, small: DataFrame, key: str, spread: str, how: st
     """
     if small.count() <= bound:
         return left.join(F.broadcast(small), key, how)
-    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+    salt = free("__salt", {c.lower() for c in (*left.columns, *small.columns)})
+    salted = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [key, salt], how).drop(salt)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

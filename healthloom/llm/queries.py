@@ -25,7 +25,7 @@ def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(read(spark, sf_dir, "documents"))
+    return pii.replace(read(spark, sf_dir, "documents"), pii.key(spark))
 
 
 def op5_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
