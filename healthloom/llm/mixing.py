@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, without, written
+from .common import free, keyed_join, without, written
 
 #: Hex digits of a hash that make a number: 52 bits, exact in a double.
 DIGITS = 13
@@ -66,17 +66,22 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, source: str = "source
     """docs repeated to the weights (source_key, weight; by default tempered_weights), with copy (from 1) and shuffle_key.
 
     The per-source steps are a small written table: broadcast when counted to be small, else joined by salted keys. The texts
-    move once, in the shuffle by shuffle_key; every key is different, so no source or copy is a hot one.
+    move once, in a shuffle by shuffle_key and a row's place in its input partition, so that neither a source nor
+    an id that many rows share (a null one, say) is a hot key; within a partition rows are sorted by shuffle_key.
     """
     docs = without(docs, "copy", "shuffle_key")
     names = docs.columns
+    taken = {c.lower() for c in names}
+    own_key, own_steps, own_unit, own_n, own_place = (free(n, taken) for n in ("__key", "__steps", "__u", "__n", "__place"))
     weights = tempered_weights(docs, source) if weights is None else weights
-    steps = written(rates(docs, weights, source, size_ratio).withColumn("__steps", poisson_steps(F.col("rate"))).select(F.col("source_key").alias("__key"), "__steps"), "steps")
-    drawn = docs.withColumn("__key", source_key(source)).withColumn("__u", unit(seed, F.col(doc_id)))
-    counted = keyed_join(drawn, steps, "__key", doc_id).withColumn("__n", F.size(F.filter("__steps", lambda c: c < F.col("__u"))))
-    copies = counted.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    steps = written(rates(docs, weights, source, size_ratio).select(F.col("source_key").alias(own_key), poisson_steps(F.col("rate")).alias(own_steps)), "steps")
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(1024))
+    drawn = docs.select(*[F.col(f"`{c}`") for c in names], source_key(source).alias(own_key), unit(seed, F.col(doc_id)).alias(own_unit), place.alias(own_place))
+    counted = keyed_join(drawn, steps, own_key, own_place).withColumn(own_n, F.size(F.filter(own_steps, lambda c: c < F.col(own_unit))))
+    copies = counted.where(F.col(own_n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(own_n))))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("copy"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    return copies.withColumn("shuffle_key", key).select(*names, "copy", "shuffle_key").repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    dealt = copies.withColumn("shuffle_key", key).repartition("shuffle_key", F.xxhash64(own_place))
+    return dealt.sortWithinPartitions("shuffle_key").select(*[F.col(f"`{c}`") for c in names], "copy", "shuffle_key")
 
 
 def stage(docs: DataFrame) -> DataFrame:

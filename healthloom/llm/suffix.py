@@ -37,7 +37,7 @@ CHUNK, MOST_SUFFIXES = 1 << 18, 1 << 17
 #: Rows of an Arrow batch that are worked on, and given on, at once.
 ROWS = 500
 #: Anchors with more rows than this are dealt by string, so that no task holds them whole.
-HOT_ROWS = 50_000
+HOT_ROWS = 4096
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: np.ndarray | None = None
@@ -274,12 +274,12 @@ def compared(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def strings(edge_rows: DataFrame) -> DataFrame:
-    """The ranges of rows of hot anchors, one a string: strings meet by a 128-bit hash instead of their anchor, which spreads them."""
+    """The ranges of rows of hot anchors, one a string: strings meet by their bytes instead of their anchor, which spreads them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for doc, key, start, body in zip(b["doc"], b["key"], b["start"], b["body"], strict=True):
-                found = [hashlib.blake2b(body[k : k + SPAN], digest_size=16).digest() for k in range(len(body) - SPAN + 1)]
+                found = [body[k : k + SPAN] for k in range(len(body) - SPAN + 1)]
                 yield pd.DataFrame({"string": found, "doc": doc, "key": key, "start": np.arange(start, start + len(found), dtype=np.int64)})
 
     rows = edge_rows.select("doc", "key", "start", "body").mapInPandas(run, "string binary, doc long, key long, start long")

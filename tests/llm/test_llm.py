@@ -146,6 +146,16 @@ def test_mixing_counts(spark, docs, none):
     assert out.select("shuffle_key").distinct().count() == out.count()
     assert sorted(map(tuple, mixing.mix(many.repartition(7), weights).select("doc_id", "copy").collect())) == sorted(map(tuple, out.select("doc_id", "copy").collect()))
     assert mixing.mix(none).count() == 0
+    # A null id of a third of all rows, and names that the operator uses itself.
+    nulls = many.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).withColumn("__u", F.lit(1)).withColumn("__KEY", F.lit(2))
+    made = mixing.mix(nulls, weights)
+    assert made.columns == ["doc_id", "source", "__u", "__KEY", "copy", "shuffle_key"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = {r["p"] for r in mixing.mix(nulls, weights).where("doc_id IS NULL").select(F.spark_partition_id().alias("p")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(parts) > 1
     again = mixing.mix(docs).groupBy("doc_id").count().where("doc_id = 0").first()
     assert again is None or again["count"] % 2 == 0
 
