@@ -37,7 +37,7 @@ CHUNK, MOST_SUFFIXES = 1 << 18, 1 << 17
 #: Rows of an Arrow batch that are worked on, and given on, at once.
 ROWS = 500
 #: Anchors with more rows than this are dealt by string, so that no task holds them whole.
-HOT_ROWS = 4096
+HOT_ROWS = 50_000
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: np.ndarray | None = None
