@@ -1,13 +1,19 @@
 """N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
-Documents are sets of SHINGLE-word shingles (lower-cased, cut at white space). Every document gets TREES label sequences of
-MinHash values. Two documents are candidates if their sequences in some tree share a prefix; the prefix is shortened from
-MAX_DEPTH labels until pairs at the threshold are found with probability TARGET or more. Candidates are verified by the exact
-Jaccard similarity of their whole shingle sets.
-
-Documents with the same set are one class from the start. In a bucket of the forest every class is joined to the bucket's
-smallest only; the connected parts of these links are then verified as wholes: all their members against each other, in blocks
-of at most BLOCK by BLOCK, in memory. Tasks return a row a member (its links, its part's smallest), never a row a pair. So a
+Documents are sets of SHINGLE-word shingles (lower-cased, cut at white space). Every document has a path of MAX_DEPTH MinHash
+labels in each of TREES prefix tries. The recall target says how far a matched prefix is shortened at most: to the longest depth
+at which a pair at the threshold shares a node of some trie with probability TARGET or more. Documents that share no such node
+with any other are done.
+
+The others are sorted along each trie, so those with the longest common prefixes stand next to each other. From MAX_DEPTH down to
+that depth, the documents of a node are compared by the share of labels that agree in all tries, and joined if it may be that of
+a pair at the threshold (REACH standard deviations below it, which loses one pair in a thousand million). A document's prefix is
+shortened only towards documents that it has not been joined with by a longer one. Nodes of more than NODE documents join all of
+theirs without that look, by one edge each.
+
+Documents with the same set are one class from the start. The connected parts of what the forest joins are verified as wholes by
+the exact Jaccard similarity of whole shingle sets: all their members against each other, in blocks of at most BLOCK by BLOCK, in
+memory. Tasks return a row a member (its links, its part's smallest), never a row a pair. So a
 group of thousands of near copies costs its comparisons but no row for each, and a large group is spread over many tasks.
 
 Defined results: one row a doc_id with class_id (the smallest id of its group of linked documents) and n_links (documents,
@@ -30,6 +36,8 @@ from .common import written
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET = 32, 8, 0.9999
+#: Documents of a node that are compared by their labels, and standard deviations below the threshold that are still joined.
+NODE, REACH = 256, 6.0
 #: Members of one side of a block of comparisons, and shingles of it compared at once; both bound memory alone.
 BLOCK, COLUMNS = 512, 8192
 _MOST_WORDS = 1_000_000
@@ -74,37 +82,104 @@ _FACTORS = (_random.integers(0, 2**32, TREES * MAX_DEPTH, np.uint64) | 1).astype
 _OFFSETS = _random.integers(0, 2**32, TREES * MAX_DEPTH, np.uint64).astype(np.uint32)
 
 
-def tree_keys(found: np.ndarray, depth: int) -> np.ndarray:
-    """A 64-bit key a tree: its number and the first depth labels."""
-    columns = TREES * depth
+def labels(found: np.ndarray) -> np.ndarray:
+    """TREES paths of MAX_DEPTH MinHash labels."""
+    columns = TREES * MAX_DEPTH
     low = np.full(columns, 0xFFFFFFFF, np.uint32)
     x32 = (found >> np.uint64(32)).astype(np.uint32) ^ found.astype(np.uint32)
     for s in range(0, len(x32), 2048):
-        x = x32[s : s + 2048, None] * _FACTORS[:columns] + _OFFSETS[:columns]
+        x = x32[s : s + 2048, None] * _FACTORS + _OFFSETS
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         np.minimum(low, x.min(axis=0), out=low)
-    labels = low.reshape(TREES, depth).astype(np.uint64)
+    return low.reshape(TREES, MAX_DEPTH)
+
+
+def node_keys(paths: np.ndarray, depth: int) -> np.ndarray:
+    """A 64-bit key for the node at a depth of each trie."""
     key = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for j in range(depth):
-        key = (key ^ (key >> np.uint64(29)) ^ labels[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ (key >> np.uint64(29)) ^ paths[:, j].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
 def signed(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
-    """doc_id, set_key (128 bits; null without shingles), keys."""
+    """doc_id, set_key (128 bits; null without shingles), keys (the node at depth in each trie), paths (a byte of each label)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets, keys = [], []
+            sets, keys, paths = [], [], []
             for t in b["text"]:
                 found = shingles(t)
+                own = labels(found) if len(found) else None
                 sets.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(tree_keys(found, depth) if len(found) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "set_key": sets, "keys": keys})
+                keys.append(None if own is None else node_keys(own, depth))
+                paths.append(None if own is None else own.astype(np.uint8).tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "set_key": sets, "keys": keys, "paths": paths})
+
+    narrow = docs.select(F.col(f"`{doc_id}`").cast("long").cast("string").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("doc_id").isNotNull())
+    return narrow.mapInPandas(run, "doc_id string, set_key binary, keys array<long>, paths binary").select(F.col("doc_id").cast("long").alias("doc_id"), "set_key", "keys", "paths")
+
+
+def joined_within(node: np.ndarray, key: np.ndarray, tail: np.ndarray, paths: np.ndarray, depth: int, least: float) -> np.ndarray:
+    """For each row the smallest row of its node that it is joined with, through others or directly.
+
+    Rows are sorted by (key, tail): a trie below its nodes at depth; tail holds the labels behind it. node tells documents apart.
+    """
+    n = len(node)
+    root = np.arange(n)
+    for length in range(tail.shape[1], -1, -1):
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (tail[1:, :length] != tail[:-1, :length]).any(axis=1)
+        begins = np.flatnonzero(new)
+        end = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
+        edges = []
+        for step in range(1, int((end - np.arange(n)).max(initial=1))):
+            i = np.flatnonzero(np.arange(n) + step < end)
+            i = i[root[i] != root[i + step]]
+            for s in range(0, len(i), 1 << 15):
+                some = i[s : s + (1 << 15)]
+                edges.append(some[(paths[some] == paths[some + step]).mean(axis=1) >= least])
+                edges[-1] = np.stack([edges[-1], edges[-1] + step])
+        if edges:
+            a, b = np.concatenate(edges, axis=1)
+            while True:
+                low = np.minimum(root[a], root[b])
+                before = root.copy()
+                np.minimum.at(root, before[a], low)
+                np.minimum.at(root, before[b], low)
+                root = root[root]
+                if (root == before).all():
+                    break
+    return root
+
+
+def forest_edges(rows: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """a, b: documents that the nodes of rows (key, tree, node, paths) join. A node's rows are one task's, NODE at most."""
+    least = threshold - REACH * (threshold * (1 - threshold) / (TREES * MAX_DEPTH)) ** 0.5
+
+    def done(b: pd.DataFrame) -> pd.DataFrame:
+        paths = np.frombuffer(b"".join(b["paths"]), np.uint8).reshape(len(b), TREES, MAX_DEPTH)
+        tail = paths[np.arange(len(b)), b["tree"].to_numpy(), depth:]
+        key, node = b["key"].to_numpy(), b["node"].to_numpy()
+        order = np.lexsort((node, *tail.T[::-1], key))
+        key, tail, node = key[order], tail[order], node[order]
+        root = joined_within(node, key, tail, paths.reshape(len(b), -1)[order], depth, least)
+        some = np.flatnonzero(node != node[root])
+        return pd.DataFrame({"a": node[some], "b": node[root[some]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            whole = held["key"] != held["key"].iloc[-1] if len(held) else []
+            if len(held) and whole.any():
+                yield done(held[whole])
+                held = held[~whole]
+        if held is not None and len(held):
+            yield done(held)
 
-    narrow = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    return narrow.mapInPandas(run, "doc_id string, set_key binary, keys array<long>").select(F.col("doc_id").cast("long").alias("doc_id"), "set_key", "keys")
+    return rows.select("key", "tree", "node", "paths").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -188,15 +263,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     """doc_id, class_id, n_links."""
     depth = prefix_depth(threshold=threshold)
     signs = written(signed(docs, doc_id, text, depth), "signs")
-    classes = written(signs.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("copies"), F.first("keys").alias("keys")), "classes")
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    stars = keyed.join(least, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    classes = written(signs.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"), F.countDistinct("doc_id").alias("copies"), F.first("keys").alias("keys"), F.first("paths").alias("paths")), "classes")
+    keyed = classes.select("node", F.posexplode("keys").alias("tree", "key"))
+    nodes = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "low", "n"), "nodes")
+    shared = keyed.join(nodes.hint("merge"), "key")
+    few = shared.where(F.col("n") <= NODE).join(classes.select("node", "paths").hint("merge"), "node")
+    many = shared.where((F.col("n") > NODE) & (F.col("node") != F.col("low"))).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    stars = written(forest_edges(few, depth, threshold).unionByName(many).distinct(), "edges")
     parts = written(components(stars, "candidates"), "parts")
     sizes = written(parts.groupBy(F.col("root").alias("part")).agg(F.count("*").alias("size")), "sizes")
-    nodes = written(parts.withColumnRenamed("root", "part").join(sizes, "part").join(classes.select("node", "copies", "set_key"), "node"), "nodes")
-    total = nodes.count()
-    verified = blocks(docs, nodes, doc_id, text, max(1, total // BLOCK)).groupBy("bucket", "i", "j").applyInPandas(lambda g: verify(g, threshold), "node long, near long, links long")
+    members = written(parts.withColumnRenamed("root", "part").join(sizes, "part").join(classes.select("node", "copies", "set_key"), "node"), "members")
+    total = members.count()
+    verified = blocks(docs, members, doc_id, text, max(1, total // BLOCK)).groupBy("bucket", "i", "j").applyInPandas(lambda g: verify(g, threshold), "node long, near long, links long")
     verified = written(verified, "verified")
     groups = components(verified.select(F.col("node").alias("a"), F.col("near").alias("b")), "groups")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

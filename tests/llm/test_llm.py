@@ -387,8 +387,65 @@ def test_jaccard_join(docs, rows, none):
     assert set(kept) == {None} | {i for i in one if group[i] == i}
 
 
-def test_large_group_in_blocks(spark, monkeypatch):
+def test_pairs_near_the_threshold_are_found(spark):
+    """Pairs of a similarity from 0.8 on: with a target of 0.9999 none of a few hundred is missed, and none below is taken."""
+    rng = random.Random(12)
+    texts, want = [], []
+    for k in range(400):
+        words = [f"w{k}x{j}" for j in range(200)]
+        other = list(words)
+        # Each word changed away from the others costs five shingles of each side.
+        for j in range(rng.choice((3, 4, 5))):
+            other[20 + 40 * j] = "new"
+        one, two = ({tuple(x[i : i + 5]) for i in range(196)} for x in (words, other))
+        want.append(len(one & two) / len(one | two) >= 0.8)
+        texts += [" ".join(words), " ".join(other)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(400)] == want and 50 < sum(want) < 350
+    assert all(got[2 * k] == 2 * k and got[2 * k + 1] in (2 * k, 2 * k + 1) for k in range(400))
+
+
+def test_documents_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: set(neardup.shingles(r["text"]).tolist()) for r in docs.collect()}
+    links, group = dict.fromkeys(sets, 0), {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 0.8 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                low, high = sorted((group[a], group[b]))
+                if low != high:
+                    group = {k: low if g == high else g for k, g in group.items()}
+    table = docs.withColumn("key", F.lit(1)).withColumn("NODE", F.lit("x")).withColumn("paths", F.lit(None))
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.join(table).collect()} == {i: (group[i], links[i]) for i in sets}
+    assert sum(links.values()) > 20
+
+
+def test_the_forest_joins_no_chains_of_chance():
+    """A row of texts of which neighbours are half alike shares nodes here and there, but is never one part."""
+    words = [f"w{i}" for i in range(4000)]
+    sets = [neardup.shingles(" ".join(words[40 * k : 40 * k + 120])) for k in range(90)]
+    paths = np.array([neardup.labels(x) for x in sets])
+    depth = neardup.prefix_depth()
+    keys = np.array([neardup.node_keys(p, 2) for p in paths])
+    rows = [(keys[i, t], i, t) for i in range(90) for t in range(neardup.TREES)]
+    rows.sort()
+    key, node, tree = (np.array(x) for x in zip(*rows, strict=True))
+    flat = paths.astype(np.uint8)
+    tail = flat[node, tree, depth:]
+    order = np.lexsort((node, *tail.T[::-1], key))
+    root = neardup.joined_within(node[order], key[order], tail[order], flat.reshape(90, -1)[node[order]], depth, 0.65)
+    assert (np.diff(np.sort(key)) == 0).any() and (root == np.arange(len(root))).all()
+    loose = neardup.joined_within(node[order], key[order], tail[order], flat.reshape(90, -1)[node[order]], depth, 0.0)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1])
+    assert (loose == np.repeat(starts, np.diff(np.append(starts, len(loose))))).all()
+
+
+@pytest.mark.parametrize("most", [256, 8])
+def test_large_group_in_blocks(spark, monkeypatch, most):
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "NODE", most)
     rng = random.Random(8)
     base = sentence(rng, 300).split()
     texts = []
