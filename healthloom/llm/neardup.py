@@ -40,7 +40,7 @@ TREES, MAX_DEPTH, TARGET = 32, 8, 0.9999
 NODE, REACH = 256, 6.0
 #: Members of one side of a block of comparisons, and shingles of it compared at once; both bound memory alone.
 BLOCK, COLUMNS = 512, 8192
-_MOST_WORDS = 1_000_000
+_MOST_WORDS = 1 << 18
 
 
 def prefix_depth(trees: int = TREES, threshold: float = THRESHOLD, target: float = TARGET, longest: int = MAX_DEPTH) -> int:
