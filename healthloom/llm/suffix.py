@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ CHUNK, MOST_SUFFIXES = 1 << 18, 1 << 17
 #: Rows of an Arrow batch that are worked on, and given on, at once.
 ROWS = 500
 #: Anchors with more rows than this are dealt by string, so that no task holds them whole.
-HOT_ROWS = 50_000
+HOT_ROWS = 4096
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: np.ndarray | None = None
@@ -276,13 +277,22 @@ def compared(rows: pd.DataFrame) -> pd.DataFrame:
 def strings(edge_rows: DataFrame) -> DataFrame:
     """The ranges of rows of hot anchors, one a string: strings meet by their bytes instead of their anchor, which spreads them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, key, start, body in zip(b["doc"], b["key"], b["start"], b["body"], strict=True):
-                found = [body[k : k + SPAN] for k in range(len(body) - SPAN + 1)]
-                yield pd.DataFrame({"string": found, "doc": doc, "key": key, "start": np.arange(start, start + len(found), dtype=np.int64)})
-
-    rows = edge_rows.select("doc", "key", "start", "body").mapInPandas(run, "string binary, doc long, key long, start long")
+            for s in range(0, b.num_rows, ROWS):
+                some = b.slice(s, ROWS)
+                bodies = some["body"].to_pylist()
+                lengths = np.array([len(x) for x in bodies], np.int64)
+                count, data = lengths - SPAN + 1, np.frombuffer(b"".join(bodies), np.uint8)
+                n = int(count.sum())
+                k = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+                at = np.repeat(np.cumsum(lengths) - lengths, count) + k
+                cut = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, SPAN)[at])
+                found = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SPAN).astype(np.int32)), pa.py_buffer(cut)])
+                doc, key, start = (np.repeat(some[c].to_numpy(), count).astype(np.int64) for c in ("doc", "key", "start"))
+                yield pa.RecordBatch.from_arrays([found, pa.array(doc), pa.array(key), pa.array(start + k)], ["string", "doc", "key", "start"])
+
+    rows = edge_rows.select("doc", "key", "start", "body").mapInArrow(run, "string binary, doc long, key long, start long")
     least = rows.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("string", "low")
     return rows.join(least, "string").where("doc > low").select("doc", "key", "start", (F.col("start") + SPAN).alias("stop"))
 
