@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET = 32, 8, 0.9999
@@ -311,5 +311,6 @@ def blocks(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, buckets: i
 def stage(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that another stands for: of each group the one of the smallest id stays."""
     found = join(docs, doc_id, text)
-    gone = written(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    name = free("__gone", {c.lower() for c in docs.columns})
+    gone = written(found.where("doc_id <> class_id").select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(name), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

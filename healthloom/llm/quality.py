@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, without, written
+from .common import free, keyed_join, without, written
 
 #: Smallest number of words, and largest share of words in repeated windows (per cent).
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -45,17 +45,19 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = without(docs, *COUNTS)
     t = f"coalesce(`{text}`, '')"
+    taken = {c.lower() for c in docs.columns}
+    c, l = free("__c", taken), free("__l", taken)  # noqa: E741
     found = docs.withColumn(
-        "__c",
+        c,
         F.expr(f"transform(array(array_remove(split({t}, '{_SPACES}+'), '')), w -> named_struct('n', size(w), 'r', {_REPEATED}))[0]"),
-    ).withColumn("__l", F.expr(f"transform(array(filter(split({t}, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')), x -> size(x) - size(array_distinct(x)))[0]"))
+    ).withColumn(l, F.expr(f"transform(array(filter(split({t}, '\\n', -1), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')), x -> size(x) - size(array_distinct(x)))[0]"))
     return found.select(
-        *docs.columns,
-        F.col("__c.n").cast("long").alias("n_words"),
+        *[F.col(f"`{x}`") for x in docs.columns],
+        F.col(f"{c}.n").cast("long").alias("n_words"),
         F.expr(f"char_length(regexp_replace({t}, '{_SPACES}+', ''))").cast("long").alias("word_chars"),
         F.expr(f"char_length({t}) - char_length(regexp_replace({t}, '[#*$%&|<>]+', ''))").cast("long").alias("n_symbols"),
-        F.col("__l").cast("long").alias("n_dup_lines"),
-        F.col("__c.r").cast("long").alias("n_repeat_words"),
+        F.col(l).cast("long").alias("n_dup_lines"),
+        F.col(f"{c}.r").cast("long").alias("n_repeat_words"),
     )
 
 
@@ -96,12 +98,15 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", threshold:
     docs = without(docs, *COUNTS, "base_failed", "host_rate", "kept")
     columns = [c for c in docs.columns if keep is None or c in keep]
     narrow = docs.select(*{*columns, host, text})
-    counted = base_verdict(text_counts(narrow, text)).select(*columns, F.col(host).alias("__host"), *COUNTS, "base_failed")
+    taken = {c.lower() for c in columns}
+    own, rejected = free("__host", taken), free("__rejected", taken)
+    plain = [F.col(f"`{c}`") for c in columns]
+    counted = base_verdict(text_counts(narrow, text)).select(*plain, F.col(f"`{host}`").alias(own), *COUNTS, "base_failed")
     counted = written(counted, "counted")
-    hosts = host_verdicts(counted, "__host", threshold).select("__host", "host_rate", "host_rejected")
+    hosts = host_verdicts(counted, own, threshold).select(F.col("__host").alias(own), "host_rate", F.col("host_rejected").alias(rejected))
     spread = "doc_id" if "doc_id" in columns else columns[0] if columns else "n_words"
-    joined = keyed_join(counted, hosts, "__host", spread, "left")
-    return joined.select(*columns, *COUNTS, "base_failed", "host_rate", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
+    joined = keyed_join(counted, hosts, own, spread, "left")
+    return joined.select(*plain, *COUNTS, "base_failed", "host_rate", (~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))).alias("kept"))
 
 
 def stage(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:

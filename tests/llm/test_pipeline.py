@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -25,3 +26,17 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+AWKWARD = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a few words " * 20, "en", "s", 240), (4, "x " * 60_000, "en", None, 120_000), (5, "Mr John Smith wrote to ana@b.com about " + "many different things of this wide world " * 3, "en", "s", 9), (5, "Mr John Smith wrote to ana@b.com about " + "many different things of this wide world " * 3, "en", "s", 9)]
+
+
+@pytest.mark.parametrize("rows", [[], AWKWARD[:1], AWKWARD])
+def test_stages_of_awkward_tables(spark, rows):
+    """Nulls in any column, empty and very long texts, repeated rows, one row, none; a column more with a clashing name."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__host", F.lit(1)).withColumn("copies", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, "").collect()
+        assert len(found) <= 400 and (rows or not found)
+        if name != "sequence_packing" and rows:
+            assert all(set(r.asDict()) == set(docs.columns) for r in found)
