@@ -37,7 +37,7 @@ TABLES, MOST_PROBES, LEAST_BITS, MOST_BITS = 6, 512, 4, 24
 #: Rows of a shard, and queries in one task of it; both bound memory alone.
 PART, ASKED = 16384, 16384
 #: Rows that w and the visited share are fitted on, and queries that bits and probes are; both are chosen by hash of the id.
-SAMPLE, SAMPLE_QUERIES, TARGET = 2000, 128, 0.93
+SAMPLE, SAMPLE_QUERIES, TARGET = 2000, 128, 0.94
 #: w in standard deviations of a projection; number of rows whose visit costs as much as one probe.
 WIDTH, PROBE_COST = 3.0, 4
 TOP = 20
