@@ -68,9 +68,9 @@ def link_first4_pairs(spark, sf_dir):
 
 
 @query("""SELECT a.c_custkey AS id_i, b.c_custkey AS id_j FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey
-WHERE jaro_winkler_similarity(a.c_name, b.c_name) >= 0.98""")
+WHERE jaro_winkler_similarity(a.c_name, b.c_name) >= 0.96""")
 def link_fuzzy_jw(spark, sf_dir):
-    p = Pass({"c_name": FUZZY}, (BlockKey("c_nationkey"), BlockKey("c_mktsegment")), "eval_perfect_match", threshold=0.98)
+    p = Pass({"c_name": FUZZY}, (BlockKey("c_nationkey"), BlockKey("c_mktsegment")), "eval_perfect_match", threshold=0.96)
     return link.match_pairs(table(spark, sf_dir, "customer"), p, "c_custkey")
 
 
