@@ -121,6 +121,13 @@ def test_values_of_copies_are_compared_once(spark, monkeypatch):
     assert 0 < seen.value <= 3
 
 
+def test_levenshtein_is_taken_of_values_and_not_of_records(typed):
+    """Records are grouped below the join that compares them."""
+    p = Pass({"v": "feature_match_fuzzy_string"}, (BlockKey("b"),), "eval_perfect_match", similarity_measure="Levenshtein", threshold=0.55)
+    plan = link.match_pairs(typed[1], p, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("levenshtein") :]
+
+
 def test_null_keys_are_in_no_block(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, "x", None), (4, "x", None)], "id int, b string, v string")
     p = Pass({"v": "feature_match_exact"}, (BlockKey("b"),), "eval_perfect_match")
