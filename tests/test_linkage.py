@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,23 @@ def test_levenshtein_is_taken_of_values_and_not_of_records(typed):
     assert "Aggregate" in plan[plan.index("levenshtein") :]
 
 
+@pytest.mark.parametrize(("cutoff", "implied"), [(7.0, ["v", "n"]), (6.0, ["v"]), (1.5, []), (7.6, ["v", "n"]), (0.0, [])])
+def test_log_odds_join_on_what_the_cutoff_implies(typed, cutoff, implied):
+    p = Pass({"v": "feature_match_log_odds_exact", "n": "feature_match_log_odds_exact"}, (BlockKey("b"),), "eval_log_odds_cutoff", true_match_threshold=cutoff, log_odds={"v": 6.0, "n": 1.5})
+    got = link.match_pairs(typed[1], p, "id")
+    # What is implied is a key of the join, nulls agreeing with nulls.
+    plan = re.sub(r"#\d+", "", got._jdf.queryExecution().analyzed().toString())
+    assert sum(bool(re.search(f"[ia]__e{k} <=> [jb]__e{k}", plan)) for k in range(2)) == len(implied)
+    assert link._implied(p) == implied
+    assert sorted(map(tuple, got.collect())) == brute(typed[0], p)
+
+
+def test_log_odds_of_fuzzy_and_exact_fields(typed):
+    p = Pass({"v": "feature_match_log_odds_fuzzy_compare", "n": "feature_match_log_odds_exact"}, (BlockKey("b"),), "eval_log_odds_cutoff", true_match_threshold=5.0, log_odds={"v": 4.0, "n": 1.5})
+    want = brute(typed[0], p)
+    assert sorted(map(tuple, link.match_pairs(typed[1], p, "id").collect())) == want and want
+
+
 def test_null_keys_are_in_no_block(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, "x", None), (4, "x", None)], "id int, b string, v string")
     p = Pass({"v": "feature_match_exact"}, (BlockKey("b"),), "eval_perfect_match")
